@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohmtide.llm import lookup, packing, tokencount, warc
+from ohmtide.llm import ledger, lookup, packing, tokencount, warc
 from ohmtide.llm.common import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,6 +22,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ledger.evaluate(_read(spark, sf_dir, "documents"))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select(*columns, (~ledger.passes("base-1")).alias("base_failed"), ledger.passes("web-1").alias("kept"), "failure_bits")
+
+
 def op8_lookup_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.place(_read(spark, sf_dir, "documents"), "doc_id", SHARDS)
 
@@ -35,7 +41,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op8_lookup_shards, op9_pack, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_warc, op4_rule_ledger, op8_lookup_shards, op9_pack, op10_token_counts)}
 
 SQL = {
     "op1_warc": """
@@ -47,4 +53,17 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM p JOIN f USING (k)""",
+    "op4_rule_ledger": r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+s AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM w),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM s),
+c AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM g WHERE n > 1) GROUP BY r),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN c USING (r)),
+b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
+  + 8 * (100 * n_dup_lines > 50 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (n_words > 100000)::INT AS BIGINT) AS failure_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failure_bits & 3 <> 0 AS base_failed, failure_bits & 31 = 0 AS kept, failure_bits FROM b""",
 }
