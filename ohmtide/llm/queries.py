@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohmtide.llm import ledger, lookup, packing, tokencount, warc
+from ohmtide.llm import chunks, decontam, ledger, lookup, packing, tokencount, warc
 from ohmtide.llm.common import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,6 +28,16 @@ def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*columns, (~ledger.passes("base-1")).alias("base_failed"), ledger.passes("web-1").alias("kept"), "failure_bits")
 
 
+def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "text", "removed_chunks", "removed_lines")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op8_lookup_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.place(_read(spark, sf_dir, "documents"), "doc_id", SHARDS)
 
@@ -41,7 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op4_rule_ledger, op8_lookup_shards, op9_pack, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_warc, op4_rule_ledger, op5_line_chunks, op7_decontaminate, op8_lookup_shards, op9_pack, op10_token_counts)}
 
 SQL = {
     "op1_warc": """
@@ -66,4 +76,28 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(l
 b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
   + 8 * (100 * n_dup_lines > 50 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (n_words > 100000)::INT AS BIGINT) AS failure_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failure_bits & 3 <> 0 AS base_failed, failure_bits & 31 = 0 AS kept, failure_bits FROM b""",
+    "op5_line_chunks": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+h AS (SELECT r, doc_id, text, l, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h,
+  list_transform(l, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 40) AS g FROM d),
+e AS (SELECT r, unnest(list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR g[i] OR coalesce(g[i + 1], false)
+  OR ((((31 * coalesce(h[i - 1], 0) + 17 * h[i]) % 4294967296) >> 7) % 2 = 0))) AS e FROM h),
+f AS (SELECT r, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY e), 0) AS b FROM e),
+c AS (SELECT r, doc_id, b, array_to_string(l[b + 1:e], chr(10)) AS chunk, len(list_filter(l[b + 1:e], lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS lines, g[e] AS g FROM f JOIN h USING (r)),
+w AS (SELECT *, lines >= 2 OR g AS whole FROM c),
+n AS (SELECT chunk, count(*) AS n, min((doc_id, b)) AS first FROM w WHERE whole GROUP BY chunk),
+k AS (SELECT w.*, whole AND n.n > 1 AND (doc_id, b) <> n.first AS gone FROM w LEFT JOIN n ON w.whole AND w.chunk = n.chunk),
+t AS (SELECT r, coalesce(string_agg(chunk, chr(10) ORDER BY b) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS removed_chunks, coalesce(sum(lines) FILTER (gone), 0)::BIGINT AS removed_lines FROM k GROUP BY r)
+SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE t.text END AS text, removed_chunks, removed_lines FROM d JOIN t USING (r)""",
+    "op7_decontaminate": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM benchmark),
+v AS (SELECT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS win FROM (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS s FROM i WHERE len(w) > 0)),
+u AS (SELECT k, win, list(DISTINCT item_id) AS ids FROM v GROUP BY k, win),
+p AS (SELECT r, s, k, array_to_string(w[s:s + k - 1], ' ') AS win FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM u))),
+m AS (SELECT r, s, p.k, ids FROM p JOIN u ON p.k = u.k AND p.win = u.win),
+n AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(s, s + k)) AS j FROM m) GROUP BY r),
+x AS (SELECT r, count(DISTINCT id) AS n_items, string_agg(DISTINCT id::VARCHAR, ',' ORDER BY id::VARCHAR) AS ids FROM (SELECT r, unnest(ids) AS id FROM m) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN x USING (r)""",
 }
