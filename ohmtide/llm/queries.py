@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohmtide.llm import chunks, countjoin, decontam, ledger, lookup, packing, tokencount, warc
+from ohmtide.llm import chunks, countjoin, decontam, ledger, lookup, mixing, packing, tokencount, warc
 from ohmtide.llm.common import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,6 +22,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(_read(spark, sf_dir, "documents"))
+
+
 def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ledger.evaluate(_read(spark, sf_dir, "documents"))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -55,7 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op4_rule_ledger, op5_line_chunks, op6_ngram_join, op7_decontaminate, op8_lookup_shards, op9_pack, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_context_mixing, op4_rule_ledger, op5_line_chunks, op6_ngram_join, op7_decontaminate, op8_lookup_shards, op9_pack, op10_token_counts)}
 
 SQL = {
     "op1_warc": """
