@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohmtide.llm import chunks, countjoin, decontam, ledger, lookup, mixing, packing, tokencount, warc
+from ohmtide.llm import chunks, countjoin, decontam, ledger, lookup, mixing, packing, surrogates, tokencount, warc
 from ohmtide.llm.common import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
+#: In production, a secret of the run.
+SURROGATE_KEY = "surrogates-1"
 SHARDS = [f"shard-{i:03d}" for i in range(200)]
 
 
@@ -26,6 +28,12 @@ def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.score(_read(spark, sf_dir, "documents"))
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = surrogates.replace(_read(spark, sf_dir, "documents"), SURROGATE_KEY)
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))), ",")
+    return replaced.select("doc_id", "text", F.size("entities").cast("bigint").alias("n_entities"), kinds.alias("kinds"))
+
+
 def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ledger.evaluate(_read(spark, sf_dir, "documents"))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -59,7 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_context_mixing, op4_rule_ledger, op5_line_chunks, op6_ngram_join, op7_decontaminate, op8_lookup_shards, op9_pack, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_context_mixing, op3_surrogates, op4_rule_ledger, op5_line_chunks, op6_ngram_join, op7_decontaminate, op8_lookup_shards, op9_pack, op10_token_counts)}
 
 SQL = {
     "op1_warc": """
