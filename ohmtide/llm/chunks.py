@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ohmtide.llm.common import join_small, written
+from ohmtide.llm.common import drop_written, join_small, written
 from ohmtide.llm.native import SPACES, let, positions, words
 
 #: A boundary follows one in so many pairs of lines.
@@ -64,9 +64,10 @@ def chunks_of(text: Column) -> Column:
 
 
 def repeated(documents: DataFrame, key: Callable[[Column], Column] = digest) -> DataFrame:
-    """doc_id, at and digest of every occurrence, after the first, of a chunk that occurs more than once."""
+    """A table of doc_id, at and digest of every occurrence, after the first, of a chunk that occurs more than once."""
     rows = documents.select("doc_id", F.explode(F.filter(chunks_of(F.coalesce("text", F.lit(""))), lambda c: c["whole"])).alias("c"))
-    rows = rows.select("doc_id", F.col("c.at").alias("at"), key(F.col("c.text")).alias("digest"), F.col("c.text").alias("chunk"))
+    # Written once with its bytes, which are compared below: no later step cuts the texts again.
+    rows = written(rows.select("doc_id", F.col("c.at").alias("at"), key(F.col("c.text")).alias("digest"), F.col("c.text").alias("chunk")), "chunks")
     # A null doc_id comes last, so that its row is never the first of others.
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("at"))
     found = written(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("digest", "first"), "chunk-digests")
@@ -80,7 +81,10 @@ def repeated(documents: DataFrame, key: Callable[[Column], Column] = digest) ->
     # Different texts with one digest are told apart by their bytes.
     mixed = texts.join(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "digest").where("n > 1").select("digest", "chunk", "first")
     told = join_small(rows, mixed, n, ["digest", "chunk"], "inner").where(later)
-    return same.select("doc_id", "at", "digest").unionByName(told.select("doc_id", "at", "digest"))
+    gone = written(same.select("doc_id", "at", "digest").unionByName(told.select("doc_id", "at", "digest")).distinct(), "chunk-repeats")
+    for old in (rows, found, texts):
+        drop_written(documents.sparkSession, old)
+    return gone
 
 
 def dedup_lines(documents: DataFrame, key: Callable[[Column], Column] = digest) -> DataFrame:
@@ -90,7 +94,7 @@ def dedup_lines(documents: DataFrame, key: Callable[[Column], Column] = digest)
     document: what occurs at the same line of both counts once, so repeated rows stay or go alike. A text whose chunks all go is
     left empty. An empty table gives no rows. Other columns may have any names: they are not looked at.
     """
-    gone = written(repeated(documents, key).distinct(), "chunk-repeats")
+    gone = repeated(documents, key)
     n = gone.count()
     lists = gone.groupBy("doc_id").agg(F.collect_list(F.struct("at", "digest")).alias("ohmtide_gone")).withColumnRenamed("doc_id", "ohmtide_id")
     joined = join_small(documents, lists, n, F.expr("doc_id <=> ohmtide_id"), "left")

@@ -1,7 +1,9 @@
 """N-gram Jaccard join over count vectors in R-trees.
 
-A text's set is that of its distinct shingles. Each shingle falls into one of GROUPS groups, and a set's point is its number of
-shingles in each group; two sets have at most the sum of the smaller coordinates in common. A tree over points keeps, for each
+A text's set is that of its distinct shingles. Each shingle falls into one of a number of groups, and a set's point is its number
+of shingles in each group; two sets have at most the sum of the smaller coordinates in common. For that bound to tell unrelated
+sets apart, a group must hold few shingles, so there are 64 groups for small sets and one for about GROUP_MEAN shingles in large
+ones, by powers of two. Sets that can be linked are of one such level or of two in a row, where the finer is folded. A tree over points keeps, for each
 node, the largest coordinates and the smallest size below it, so a node whose bound is under what the link needs is left out with
 all its points; pairs that survive are verified on the sets themselves.
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from ohmtide.llm.common import NON_SPACE, drop_written, join_small, mix, pieces, sequence_hashes, shuffle_parts, utf8, word_hashes, word_spans, written
 from ohmtide.llm.components import components
 
-WORDS, PERCENT, GROUPS = 5, 75, 64
+WORDS, PERCENT, GROUPS, GROUP_MEAN = 5, 75, 64, 4
 #: Points in a leaf, and nodes below a node.
 FAN = 16
 #: Sets of a block, and shingles of a group, that one tile holds about half of.
@@ -58,22 +60,25 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> t
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def profile(shingles: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two 64-bit signatures of each set, and its count vector."""
-    n = len(begin) - 1
+def level_of(n: np.ndarray) -> np.ndarray:
+    """The binary logarithm of the number of groups for sets of n shingles."""
+    return np.ceil(np.log2(np.maximum(n / GROUP_MEAN, GROUPS))).astype(np.int32)
+
+
+def profile(shingles: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Two 64-bit signatures of each set, and its count vector (16 bits are enough: shingles are spread by hash, a few to a group)."""
     with np.errstate(over="ignore"):
         sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(shingles + np.uint64(salt)), dtype=np.uint64)]) for salt in (0x1234567, 0x89ABCDE)]
         signatures = [(s[begin[1:]] - s[begin[:-1]]).view(np.int64) for s in sums]
-    row = np.repeat(np.arange(n), np.diff(begin))
-    vectors = np.bincount(row * GROUPS + (shingles >> np.uint64(58)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS)
-    return signatures[0], signatures[1], vectors.astype("<i4")
+    levels = level_of(np.diff(begin))
+    vectors = [np.bincount((shingles[a:b] >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k).astype("<u2").tobytes() for a, b, k in zip(begin, begin[1:], levels)]
+    return signatures[0], signatures[1], vectors
 
 
-def binaries(rows: np.ndarray) -> pa.Array:
-    """A binary for each row of a two-dimensional array."""
-    width = rows.shape[1] * rows.itemsize
-    at = np.arange(len(rows) + 1, dtype=np.int32) * width
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(rows))])
+def folded(vector: bytes, level: int) -> np.ndarray:
+    """A count vector at a coarser level."""
+    v = np.frombuffer(vector, "<u2").astype(np.int32)
+    return v.reshape(1 << level, -1).sum(axis=1)
 
 
 def prefix_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -264,9 +269,12 @@ def similar(documents: DataFrame, block_sets: int = BLOCK_SETS, group_shingles:
             for i, j in pieces(offsets):
                 shingles, begin = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 s1, s2, vectors = profile(shingles, begin)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(begin)), pa.array(s1), pa.array(s2), binaries(vectors)], ["doc_id", "n", "s1", "s2", "vector"])
+                n = np.diff(begin)
+                # The smallest set that can be linked with one of n shingles may be of the level below.
+                levels = [pa.array(level_of(k)) for k in (-(-PERCENT * n // 100), n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(s1), pa.array(s2), *levels, pa.array(vectors, pa.binary())], ["doc_id", "n", "s1", "s2", "low", "high", "vector"])
 
-    every = written(docs.mapInArrow(profiles, "doc_id bigint, n bigint, s1 bigint, s2 bigint, vector binary"), "profiles")
+    every = written(docs.mapInArrow(profiles, "doc_id bigint, n bigint, s1 bigint, s2 bigint, low int, high int, vector binary"), "profiles")
     classes = every.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rid"))
     members = written(every.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").select("doc_id", "n", "rid"), "members")
     copies = members.where("n > 0 AND doc_id <> rid").select("doc_id").distinct()
@@ -298,17 +306,18 @@ def similar(documents: DataFrame, block_sets: int = BLOCK_SETS, group_shingles:
     posted = kept.mapInArrow(postings, "h bigint, rid bigint")
     posted = posted.withColumns({"members": F.count(F.lit(1)).over(same), "block": F.bit_xor(F.xxhash64("rid")).over(same)}).where("members > 1")
     blocks = posted.groupBy("block", "members", "rid").agg(F.lit(1).alias("one")).drop("one")
-    points = every.where("n > 0").join(single, "doc_id").groupBy("doc_id", "s1").agg(F.first("n").alias("n"), F.first("vector").alias("vector")).select(F.col("doc_id").alias("rid"), "n", "vector")
-    dealt = tiled(blocks, F.ceil(F.col("members") / F.lit(block_sets)).cast("bigint")).join(points, "rid")
-    dealt = dealt.repartition(shuffle_parts(spark), "block", "members", "tile").sortWithinPartitions("block", "members", "tile").select("block", "members", "tile", "rid", "n", "vector")
+    points = every.where("n > 0").join(single, "doc_id").dropDuplicates(["doc_id", "s1"]).select(F.col("doc_id").alias("rid"), "n", "low", "high", "vector")
+    keys = ["block", "members", "tile", "level"]
+    dealt = tiled(blocks, F.ceil(F.col("members") / F.lit(block_sets)).cast("bigint")).join(points, "rid").withColumn("level", F.explode(F.sequence("low", "high")))
+    dealt = dealt.repartition(shuffle_parts(spark), *keys).sortWithinPartitions(*keys).select(*keys, "rid", "n", "vector")
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups():
-            for block in by_key(batches, 3):
-                ids, n = block.column(3).to_numpy(), block.column(4).to_numpy()
-                vectors = np.frombuffer(b"".join(block.column(5).to_pylist()), "<i4").reshape(len(ids), GROUPS)
-                for members in tree_groups(vectors, n):
-                    yield ids, members
+            for block in by_key(batches, 4):
+                if block.num_rows > 1:
+                    ids, n, level = block.column(4).to_numpy(), block.column(5).to_numpy(), block.column(3)[0].as_py()
+                    for members in tree_groups(np.stack([folded(v, level) for v in block.column(6).to_pylist()]), n):
+                        yield ids, members
 
         yield from star_links(groups())
 
@@ -342,6 +351,23 @@ def similar(documents: DataFrame, block_sets: int = BLOCK_SETS, group_shingles:
     # Rows of one doc_id that stand in several classes connect these.
     bridges = members.where("n > 0 AND doc_id <> rid").join(single, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rid").alias("b"))
     labels = components(links.unionByName(bridges)).withColumnRenamed("node", "rid")
-    for old in (survivors, grouped):
+    for old in (every, survivors, grouped):
         drop_written(spark, old)
     return members.join(labels, "rid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rid", "doc_id").alias("class_id"), F.coalesce("component", "rid", "doc_id").alias("component_id"))
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The rows of `documents`, with all their columns, that stand for their component: those of its smallest doc_id.
+
+    Of several rows of one doc_id, the one of the smallest text stays (nulls last). Rows without a doc_id stay.
+    """
+    found = written(similar(documents).select("doc_id", "component_id"), "near")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = join_small(documents, gone, gone.count(), ["doc_id"], "left_anti").select(*documents.columns)
+    several = written(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "several")
+    n = several.count()
+    if not n:
+        return kept
+    row = F.struct(*[F.col(c) for c in documents.columns])
+    first = join_small(kept, several, n, ["doc_id"], "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.col("text").isNull().alias("n"), F.col("text").alias("t"))).alias("ohmtide_row"))
+    return join_small(kept, several, n, ["doc_id"], "left_anti").select(*documents.columns).unionByName(first.select("ohmtide_row.*"))

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ohmtide.llm.common import BROADCAST_ROWS, written
+from ohmtide.llm.common import BROADCAST_ROWS, join_small, written
 from ohmtide.llm.native import let, lower, positions
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -56,7 +56,7 @@ def bit_table(prefixes: DataFrame, hashed: Column, bits: int) -> list[int]:
 
 
 def find(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """One row for each row of `documents`: doc_id, n_words, spans (hit words as struct<at, length>, one for each place where a
+    """One row for each row of `documents`: doc_id, text_hash (xxhash64, which tells rows of one doc_id apart), n_words, spans (hit words as struct<at, length>, one for each place where a
     window occurs), n_hit (words inside any of them), item_ids (sorted as strings).
 
     Null and empty texts have no words and no hits, items without words have no windows; a null item_id hits but is not listed;
@@ -93,14 +93,21 @@ def find(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFram
         return F.concat(*lists) if lists else F.array().cast("array<struct<at:int,low:int,prefix:string,around:array<string>>>")
 
     looked = let(item_words(F.col("text")), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), candidates(w).alias("c")))
-    rows = documents.select("doc_id", F.monotonically_increasing_id().alias("row"), looked.alias("x"))
-    rows = rows.select("doc_id", "row", "x.n_words", F.explode_outer("x.c").alias("c")).select("doc_id", "row", "n_words", "c.*")
+    rows = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), looked.alias("x"))
+    rows = rows.select("doc_id", "text_hash", "row", "x.n_words", F.explode_outer("x.c").alias("c")).select("doc_id", "text_hash", "row", "n_words", "c.*")
     # A window's row has at most a few hundred bytes, mostly its words; beyond the bound both sides are shuffled.
     side = F.broadcast(windows) if 16 * n_windows <= BROADCAST_ROWS * 8 else windows.hint("merge")
     begin = F.col("at") - F.col("prefix_at")
     met = rows.join(side, "prefix", "left")
     occurs = (begin >= F.col("low")) & (begin + F.col("k") <= F.col("n_words")) & (F.array_join(F.slice("around", F.greatest(begin - F.col("low"), F.lit(0)) + 1, F.col("k")), " ") == F.col("window"))
-    hit = met.select("doc_id", "row", "n_words", F.when(occurs, F.struct(begin.alias("at"), F.col("k").alias("length"))).alias("span"), F.when(occurs, F.col("item_ids")).alias("item_ids"))
-    by_row = hit.groupBy("row", "doc_id", "n_words").agg(F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("ids"))
+    hit = met.select("doc_id", "text_hash", "row", "n_words", F.when(occurs, F.struct(begin.alias("at"), F.col("k").alias("length"))).alias("span"), F.when(occurs, F.col("item_ids")).alias("item_ids"))
+    by_row = hit.groupBy("row", "doc_id", "text_hash", "n_words").agg(F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("ids"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1)))))
-    return by_row.select("doc_id", "n_words", "spans", covered.cast("bigint").alias("n_hit"), F.sort_array(F.transform("ids", lambda x: x.cast("string"))).alias("item_ids"))
+    return by_row.select("doc_id", "text_hash", "n_words", "spans", covered.cast("bigint").alias("n_hit"), F.sort_array(F.transform("ids", lambda x: x.cast("string"))).alias("item_ids"))
+
+
+def remove(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """The rows of `documents`, with all their columns, in which no window of the benchmark occurs."""
+    hits = written(find(documents, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("ohmtide_id"), F.col("text_hash").alias("ohmtide_th")).distinct(), "hits")
+    keyed = documents.withColumn("ohmtide_text_hash", F.xxhash64("text"))
+    return join_small(keyed, hits, hits.count(), F.expr("doc_id <=> ohmtide_id AND ohmtide_text_hash = ohmtide_th"), "left_anti").select(*documents.columns)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ohmtide.llm.common import join_small, written
+from ohmtide.llm.common import drop_written, join_small, written
 from ohmtide.llm.native import let, positions
 
 FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Madame", "Mademoiselle", "Sra", "Señora", "Doña", "Signora", "г-жа", "госпожа", "Госпожа"]
@@ -253,6 +253,8 @@ def replace(documents: DataFrame, key: str) -> DataFrame:
     own = own.select("doc_id", "th", F.struct("k", "kind", written_as(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("surrogate")).alias("e"))
     lists = own.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("e")).alias("ohmtide_e")).withColumnsRenamed({"doc_id": "ohmtide_id", "th": "ohmtide_th"})
     lists = written(lists, "replacements")
+    for old in (found, entities):
+        drop_written(documents.sparkSession, old)
     keyed = documents.withColumn("ohmtide_text_hash", F.xxhash64("text"))
     joined = join_small(keyed, lists, n, F.expr("doc_id <=> ohmtide_id AND ohmtide_text_hash = ohmtide_th"), "left")
     between = F.split(F.col("text"), ANY, -1)
