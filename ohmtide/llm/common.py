@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows up to which the side of a join is sent to all executors; a row of these joins has at most 40 bytes.
 BROADCAST_ROWS = 200_000
 #: Text is worked on in pieces of about so many bytes, so that a kernel's arrays stay small.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 ASCII_SPACE = bytes([0x20, *range(0x09, 0x0E)])
 
