@@ -1,0 +1 @@
+"""Spark-native analytics of batches of electrochemical impedance spectra."""
