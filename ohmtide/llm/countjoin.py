@@ -8,8 +8,10 @@ node, the largest coordinates and the smallest size below it, so a node whose bo
 all its points; pairs that survive are verified on the sets themselves.
 
 Points of unrelated texts lie close together when texts are long, so a single tree over everything would prune little. Therefore
-trees are built over blocks: two linked sets must share one of their rarest shingles (as many as may differ, and one), so each set
-goes into the blocks of those, and linked sets meet in a block. Blocks with the same members are one block. Survivors of the trees
+trees are built over blocks: two linked sets must share k of their rarest shingles (as many as may differ, and k), so each set
+goes into the blocks of those, and linked sets meet in k blocks. A set with fewer than k blocks that others are in too has no link
+and leaves; k is 1 and a 16th of the set, which costs little and removes what shares but a phrase. Blocks with the same members are
+one block. Survivors of the trees
 are joined to groups, and each group is verified once, with sets that are already connected not being compared again; only
 spanning links leave a task, never all pairs. Blocks and groups over a limit are dealt to several tasks in tiles that together hold
 every pair. Equal sets are one point from the start.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from ohmtide.llm.common import NON_SPACE, drop_written, join_small, mix, pieces, sequence_hashes, shuffle_parts, utf8, word_hashes, word_spans, written
 from ohmtide.llm.components import components
 
-WORDS, PERCENT, GROUPS, GROUP_MEAN = 5, 75, 64, 4
+WORDS, PERCENT, GROUPS, GROUP_MEAN, SHARED = 5, 75, 64, 4, 16
 #: Points in a leaf, and nodes below a node.
 FAN = 16
 #: Sets of a block, and shingles of a group, that one tile holds about half of.
@@ -82,8 +84,8 @@ def folded(vector: bytes, level: int) -> np.ndarray:
 
 
 def prefix_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """How many of its rarest shingles hold one that any linked set has too."""
-    return n - (percent * n + 99) // 100 + 1
+    """How many of its rarest shingles hold 1 + n // SHARED that a linked set has too, among as many of its own."""
+    return n - (percent * n + 99) // 100 + 1 + n // SHARED
 
 
 def needed(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -303,7 +305,12 @@ def similar(documents: DataFrame, block_sets: int = BLOCK_SETS, group_shingles:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles[first].view(np.int64)), pa.array(np.repeat(ids[i:j], n)[first])], ["h", "rid"])
 
     same = Window.partitionBy("h")
-    posted = kept.mapInArrow(postings, "h bigint, rid bigint")
+    posted = kept.mapInArrow(postings, "h bigint, rid bigint").withColumn("members", F.count(F.lit(1)).over(same)).where("members > 1").select("h", "rid")
+    posted = written(posted, "postings")
+    sizes = every.where("n > 0").groupBy(F.col("doc_id").alias("rid")).agg(F.min("n").alias("n"))
+    several = posted.groupBy("rid").agg(F.count(F.lit(1)).alias("blocks")).join(sizes, "rid").where(f"blocks >= 1 + n DIV {SHARED}").select("rid")
+    several = written(several, "several-blocks")
+    posted = join_small(posted, several, several.count(), ["rid"], "left_semi")
     posted = posted.withColumns({"members": F.count(F.lit(1)).over(same), "block": F.bit_xor(F.xxhash64("rid")).over(same)}).where("members > 1")
     blocks = posted.groupBy("block", "members", "rid").agg(F.lit(1).alias("one")).drop("one")
     points = every.where("n > 0").join(single, "doc_id").dropDuplicates(["doc_id", "s1"]).select(F.col("doc_id").alias("rid"), "n", "low", "high", "vector")
@@ -351,7 +358,7 @@ def similar(documents: DataFrame, block_sets: int = BLOCK_SETS, group_shingles:
     # Rows of one doc_id that stand in several classes connect these.
     bridges = members.where("n > 0 AND doc_id <> rid").join(single, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rid").alias("b"))
     labels = components(links.unionByName(bridges)).withColumnRenamed("node", "rid")
-    for old in (every, survivors, grouped):
+    for old in (every, several, survivors, grouped):
         drop_written(spark, old)
     return members.join(labels, "rid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rid", "doc_id").alias("class_id"), F.coalesce("component", "rid", "doc_id").alias("component_id"))
 
