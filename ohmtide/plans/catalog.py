@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ohmtide.operators import screens
-from ohmtide.plans import bridge, relational
+from ohmtide.plans import bridge, inversions, relational
 
-QUERIES = dict(relational.QUERIES)
-SQL = dict(relational.SQL)
+QUERIES = relational.QUERIES | inversions.QUERIES
+SQL = relational.SQL | inversions.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
