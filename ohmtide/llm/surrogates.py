@@ -21,7 +21,8 @@ from ohmtide.llm.native import let, positions
 FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Madame", "Mademoiselle", "Sra", "Señora", "Doña", "Signora", "г-жа", "госпожа", "Госпожа"]
 MALE = ["Mr", "Sir", "Herr", "Monsieur", "Sr", "Señor", "Don", "Signor", "г-н", "господин", "Господин"]
 _F, _M = "|".join(FEMALE), "|".join(MALE)
-_ADDRESS = rf"(?<![\p{{L}}\p{{N}}])(?:{_F}|{_M})\.? "
+_FIRST = "".join(sorted({w[0] for w in FEMALE + MALE}))
+_ADDRESS = rf"(?<![\p{{L}}\p{{N}}])(?=[{_FIRST}])(?:{_F}|{_M})\.? "
 _PART = r"\p{Lu}\p{Ll}{1,24}[ -]"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
@@ -38,8 +39,15 @@ PATTERNS = {
     "name": rf"(?<={_ADDRESS}(?:{_PART}(?:{_PART})?)?)\p{{Lu}}\p{{Ll}}{{1,24}}(?![\p{{L}}])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Texts without any of this have no entity.
-HINT = rf"[0-9@]|(?:{_F}|{_M})\.? \p{{Lu}}"
+#: Parts of all forms of address: a line without any of them, and without a digit or @, has no entity and is not looked at further.
+STEMS = ["Mr", "Ms", "Miss", "Mad", "Frau", "Mme", "Sra", "Señor", "Doña", "Sign", "г-", "оспо", "Sir ", "Herr", "Monsieur", "Sr", "Don "]
+#: Where entities can be: runs of words (between white space) with a digit or @ in each, or a form of address with names. Looking for
+#: these first takes one quick pass; the patterns above then see little of a text. White space bounds a run, so what they look for
+#: before and after an entity is the same as in the text.
+_DIGITS = r"[^\s0-9@]*+[0-9@]\S*+"
+SPAN = rf"(?<!\S){_DIGITS}(?: (?:{_DIGITS}|[A-Z]{{4}}(?= )))*+|{_ADDRESS}\p{{Lu}}\p{{Ll}}{{1,24}}(?:[ -]\p{{Lu}}\p{{Ll}}{{1,24}}){{0,2}}(?![\p{{L}}])"
+#: What marks an entity's place in a text, and what stands for these two characters where the text itself has them.
+MARK, ESCAPE = "\ue000", "\ue001"
 
 ONSETS = ["b", "br", "d", "dr", "f", "g", "gr", "h", "k", "kl", "l", "m", "n", "p", "r", "s", "st", "t", "tr", "v"]
 VOWELS = ["a", "e", "i", "o", "u"]
@@ -89,7 +97,39 @@ def _entities(text: Column) -> Column:
 
         return F.transform(raw, entity)
 
-    return let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda raw: F.when(F.size(raw) > 0, let(F.split(text, ANY, -1), lambda between: of(raw, between))))
+    def of_span(span: Column) -> Column:
+        found = let(F.regexp_extract_all(span, F.lit(ANY), F.lit(0)), lambda raw: F.when(F.size(raw) > 0, let(F.split(span, ANY, -1), lambda between: of(raw, between))))
+        return F.coalesce(found, F.array().cast("array<struct<kind:string,canonical:string,raw:string>>"))
+
+    def of_line(line: Column) -> Column:
+        return F.flatten(F.transform(F.regexp_extract_all(line, F.lit(SPAN), F.lit(0)), of_span))
+
+    return F.flatten(F.transform(F.filter(F.split(text, "\n"), _hinted), of_line))
+
+
+def _hinted(line: Column) -> Column:
+    """Whether a line can have an entity. No pattern goes over a line's end."""
+    some = line.rlike("[0-9@]")
+    for stem in STEMS:
+        some = some | line.contains(stem)
+    return some
+
+
+def _masked(text: Column) -> Column:
+    """A text with MARK for each entity; its own MARK and ESCAPE are escaped."""
+    escaped = lambda x: F.replace(F.replace(x, F.lit(ESCAPE), F.lit(ESCAPE + "a")), F.lit(MARK), F.lit(ESCAPE + "b"))
+
+    def of_line(line: Column) -> Column:
+        spans = F.transform(F.regexp_extract_all(line, F.lit(SPAN), F.lit(0)), lambda x: F.array_join(F.transform(F.split(x, ANY, -1), escaped), MARK))
+        return let(spans, lambda m: F.array_join(F.transform(F.split(line, SPAN, -1), lambda x, i: F.concat(escaped(x), F.coalesce(F.get(m, i), F.lit("")))), ""))
+
+    return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(_hinted(x), of_line(x)).otherwise(escaped(x))), "\n")
+
+
+def _unmasked(masked: Column, surrogates: Column) -> Column:
+    """The surrogates at their places, and the text's own characters as they were."""
+    restored = lambda x: F.replace(F.replace(x, F.lit(ESCAPE + "b"), F.lit(MARK)), F.lit(ESCAPE + "a"), F.lit(ESCAPE))
+    return F.array_join(F.transform(F.split(masked, MARK, -1), lambda x, i: F.concat(restored(x), F.coalesce(F.get(surrogates, i)["surrogate"], F.lit("")))), "")
 
 
 def _stream(key: str, attempt: int) -> Column:
@@ -243,8 +283,7 @@ def replace(documents: DataFrame, key: str) -> DataFrame:
     out alike; an empty table gives no rows. Other columns, of any names but `entities`, are passed on. The originals are not in
     the result.
     """
-    hinted = F.col("text").rlike(HINT)
-    rows = documents.select("doc_id", F.xxhash64("text").alias("th"), F.when(hinted, _entities(F.col("text"))).alias("e")).where("e IS NOT NULL")
+    rows = documents.select("doc_id", F.xxhash64("text").alias("th"), _entities(F.col("text")).alias("e")).where(F.size("e") > 0)
     found = written(rows.select("doc_id", "th", F.posexplode("e").alias("k", "e")).select("doc_id", "th", "k", "e.*").distinct(), "entities")
     n = found.count()
     entities = written(found.select("kind", "canonical").distinct(), "distinct-entities")
@@ -257,8 +296,6 @@ def replace(documents: DataFrame, key: str) -> DataFrame:
         drop_written(documents.sparkSession, old)
     keyed = documents.withColumn("ohmtide_text_hash", F.xxhash64("text"))
     joined = join_small(keyed, lists, n, F.expr("doc_id <=> ohmtide_id AND ohmtide_text_hash = ohmtide_th"), "left")
-    between = F.split(F.col("text"), ANY, -1)
-    whole = let(between, lambda b: F.array_join(F.transform(b, lambda x, i: F.concat(x, F.coalesce(F.get(F.col("ohmtide_e"), i)["surrogate"], F.lit("")))), ""))
-    text = F.when(F.col("ohmtide_e").isNotNull(), whole).otherwise(F.col("text"))
+    text = F.when(F.col("ohmtide_e").isNotNull(), _unmasked(_masked(F.col("text")), F.col("ohmtide_e"))).otherwise(F.col("text"))
     listed = F.transform(F.coalesce("ohmtide_e", F.array().cast("array<struct<k:int,kind:string,surrogate:string>>")), lambda e: F.struct(e["kind"].alias("kind"), e["surrogate"].alias("surrogate")))
     return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in documents.columns if c != "entities"], listed.alias("entities"))

@@ -1,0 +1,62 @@
+"""Archives round trip, and surrogates."""
+
+import base64
+import hashlib
+import re
+import struct
+
+from ohmtide.llm import surrogates, warc
+
+TEXT = "Mail bob.smith@corp.example.com, BOB.SMITH@CORP.EXAMPLE.COM! +1 (325) 555-8094 or 1-325-555-8094, card 4111 1111 1111 1111, iban DE89 3704 0044 0532 0130 00, ip 10.1.2.3; Mrs. Anna Keller met Mr. Keller, г-жа Анна Петрова"
+
+
+def test_archives(spark):
+    rows = [(5, "http://a/\r\nx", "<p>é</p>" * 9), (3, "http://b", "<p>é</p>" * 9), (7, None, None), (8, "u", ""), (9, "v", "z" * 300_000), (None, "w", "z" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    manifest = warc.write_archives(pages, warc.archive_folder(spark), archive_bytes=100_000)
+    got = {r.page_id: r for r in warc.read_archives(manifest).collect()}
+    for d, _, h in rows:
+        raw = (h or "").encode()
+        assert got[d].payload_bytes == len(raw) and got[d].payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        assert got[d].payload == raw if got[d].record_type == "response" else got[d].payload is None
+    assert [got[d].refers_to for d in (3, 5, 7, 8, 9, None)] == [None, 3, None, 7, None, 9]
+    uri = manifest.first().archive
+    with open(uri.removeprefix("file://"), "rb") as f:
+        magic, size = struct.unpack("<II", f.read(8))
+    assert magic == 0x184D2A5D and size == manifest.first().dictionary_bytes
+    only_long = warc.write_archives(pages, warc.archive_folder(spark), revisit_from=1000)
+    assert sum(r.record_type == "revisit" for r in warc.read_archives(only_long).collect()) == 1
+
+
+def luhn(n: str) -> bool:
+    d = [int(c) for c in n if c.isdigit()][::-1]
+    return sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2]) == 0 or (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def test_surrogates(spark):
+    rows = [(1, TEXT), (2, "again bob.smith@corp.example.com and amy@corp.example.com"), (3, "clean text, 3.5 and 2024"), (4, "4981021525375368")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in surrogates.replace(frame, "k").collect()}
+    assert {r.doc_id: r.text for r in surrogates.replace(frame, "k").collect()} == {d: r.text for d, r in got.items()}
+    assert surrogates.replace(frame, "other").where("doc_id = 1").first().text != got[1].text
+    assert got[3].text == rows[2][1] and got[3].entities == []
+    text = got[1].text
+    for gone in ("bob.smith", "BOB.SMITH", "325", "4111", "3704", "10.1.2.3", "Anna", "Keller", "Анна", "Петрова"):
+        assert gone not in text
+    kept = re.match(r"Mail ([a-z.]+@[a-z.]+\.com), ([A-Z.]+@[A-Z.]+\.COM)! (\+1 \(\d{3}\) 555-\d{4}) or 1-(\d{3}-\d{3}-\d{4}), card ((?:\d{4} ?){4}), iban (DE\d\d(?: \d{4}){4} \d\d), ip (10(?:\.\d+){3}); Mrs\. (\w+) (\w+) met Mr\. (\w+), г-жа (\w+) (\w+а)$", text)
+    assert kept, text
+    assert kept[1].upper() == kept[2] and luhn(kept[5]) and kept[9] == kept[10]
+    assert re.sub(r"\D", "", kept[3])[1:] == kept[4].replace("-", "")
+    account = kept[6].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+    assert re.fullmatch("[А-Яа-я]+", kept[11] + kept[12])
+    assert kept[1] in got[2].text and got[2].text.count(kept[1].split("@")[1]) == 2
+    assert not luhn(got[4].text) and len(got[4].text) == 16
+
+
+def test_surrogates_are_distinct_and_no_entity(spark):
+    """Two hundred addresses of one letter and host: they collide, and each gets its own."""
+    rows = [(i, f"{a}@h.example.com {a}{b}@h.example.com") for i, (a, b) in enumerate((a, b) for a in "abcdefghijklmnopqrst" for b in "abcdefgh")]
+    entities = spark.createDataFrame(sorted({("email", e) for _, t in rows for e in t.split()}), "kind string, canonical string")
+    got = surrogates.assign(entities, "k").toPandas()
+    assert len(got) == entities.count() and got.surrogate.is_unique and not set(got.surrogate) & set(got.canonical)
