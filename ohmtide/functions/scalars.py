@@ -15,6 +15,11 @@ ROLES = ("frequency", "zreal", "zimag", "modulus", "phase", "valid", "index", "t
 # ---------------------------------------------------------------------------------------------------------------------------
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def finite(x: Column) -> Column:
     """x, or null where it is NaN or infinite."""
     return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)

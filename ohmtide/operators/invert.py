@@ -31,8 +31,8 @@ def per_spectrum(spectra: DataFrame, solve: Callable[..., list[dict]], schema: s
                     found = solve(f, z, *(key[c] for c in carry))
                     out += [key | r | {"status": "completed", "error": None} for r in found]
                 except Exception as e:  # noqa: BLE001  any fault of a spectrum is its result
-                    out.append(key | {"status": "failed", "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(out, columns=["uid", *carry, *names, "status", "error"])
+                    out.append(key | dict.fromkeys(names) | {"status": "failed", "error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame(out, columns=["uid", *carry, *names, "status", "error"], dtype=object)
 
     types = dict(spectra.dtypes)
     whole = ", ".join([f"uid {uid}", *(f"{c} {types[c]}" for c in carry), schema, STATUS])
