@@ -39,13 +39,14 @@ PATTERNS = {
     "name": rf"(?<={_ADDRESS}(?:{_PART}(?:{_PART})?)?)\p{{Lu}}\p{{Ll}}{{1,24}}(?![\p{{L}}])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Parts of all forms of address: a line without any of them, and without a digit or @, has no entity and is not looked at further.
-STEMS = ["Mr", "Ms", "Miss", "Mad", "Frau", "Mme", "Sra", "Señor", "Doña", "Sign", "г-", "оспо", "Sir ", "Herr", "Monsieur", "Sr", "Don "]
-#: Where entities can be: runs of words (between white space) with a digit or @ in each, or a form of address with names. Looking for
+#: Parts of all forms of address and prefixes of tokens: a line without any of them, and without a digit or @, has no entity and is not looked at further.
+STEMS = ["Mr", "Ms", "Miss", "Mad", "Frau", "Mme", "Sra", "Señor", "Doña", "Sign", "г-", "оспо", "Sir ", "Herr", "Monsieur", "Sr", "Don ", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-"]
+#: Where entities can be: runs of words (between white space) with a digit or @ in each, a form of address with names, or a
+#: token with a known prefix. Looking for
 #: these first takes one quick pass; the patterns above then see little of a text. White space bounds a run, so what they look for
 #: before and after an entity is the same as in the text.
 _DIGITS = r"[^\s0-9@]*+[0-9@]\S*+"
-SPAN = rf"(?<!\S){_DIGITS}(?: (?:{_DIGITS}|[A-Z]{{4}}(?= )))*+|{_ADDRESS}\p{{Lu}}\p{{Ll}}{{1,24}}(?:[ -]\p{{Lu}}\p{{Ll}}{{1,24}}){{0,2}}(?![\p{{L}}])"
+SPAN = rf"(?<!\S){_DIGITS}(?: (?:{_DIGITS}|[A-Z]{{4}}(?= )))*+|{_ADDRESS}\p{{Lu}}\p{{Ll}}{{1,24}}(?:[ -]\p{{Lu}}\p{{Ll}}{{1,24}}){{0,2}}(?![\p{{L}}])|(?<![\p{{L}}\p{{N}}])(?=[Ags])(?:AKIA|gh[pousr]_|sk-)[0-9A-Za-z]+"
 #: What marks an entity's place in a text, and what stands for these two characters where the text itself has them.
 MARK, ESCAPE = "\ue000", "\ue001"
 
