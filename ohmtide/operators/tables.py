@@ -76,3 +76,42 @@ def pending(spectra: DataFrame, checkpoint: DataFrame, fingerprint: str) -> Data
     """Spectra that no completed row of the checkpoint covers under this run's fingerprint."""
     done = checkpoint.where((F.col("fingerprint") == fingerprint) & (F.col("status") == "completed")).select("uid")
     return spectra.join(done, "uid", "left_anti")
+
+
+def trend_eligibility(results: DataFrame) -> DataFrame:
+    """results with plot_reason: the first rule that keeps a spectrum out of trend panels, else eligible-awaiting-group.
+
+    Columns read: status, ordinary_rc_eligible, display_role, cell_id, sample_id, direction, voltage_v, basis.
+    """
+    absent = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    reason = (
+        F.when(F.coalesce("status", F.lit("")) != "completed", "numerical-not-completed").when(~F.coalesce("ordinary_rc_eligible", F.lit(False)), "not-ordinary-RC-eligible")
+        .when(~F.coalesce("display_role", F.lit("")).isin("included", "included-exploratory"), "diagnostic-or-unreviewed-display-role")
+        .when(absent("cell_id") & absent("sample_id"), "missing-cell-or-sample-identity").when(absent("direction"), "missing-direction")
+        .when(F.col("voltage_v").isNull() | F.isnan("voltage_v"), "missing-finite-voltage").when(~F.coalesce("basis", F.lit("")).isin("ohm", "ohm_cm2"), "unsupported-or-missing-impedance-basis")
+        .otherwise("eligible-awaiting-group")
+    )
+    return results.withColumn("plot_reason", reason)
+
+
+def display_limits(points: DataFrame, by: str, value: str, pad: float = 0.06) -> DataFrame:
+    """by, unit_factor, low, high: a thousandth of the unit where the largest magnitude is under 0.1, and the range with 6 % on each
+    side (of the value, or of one, where there is no range)."""
+    s = points.groupBy(by).agg(F.max(F.abs(value)).alias("top"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    factor = F.when(F.col("top") < 0.1, 1000.0).otherwise(1.0)
+    span = F.col("hi") - F.col("lo")
+    edge = pad * F.when(span > 0, span).when(F.col("top") > 0, F.col("top")).otherwise(1.0)
+    return s.select(by, factor.alias("unit_factor"), ((F.col("lo") - edge) * factor).alias("low"), ((F.col("hi") + edge) * factor).alias("high"))
+
+
+def quantities(points: DataFrame, kk: DataFrame | None = None) -> DataFrame:
+    """The impedance-only table of points: omega, tau, modulus, phase, and the spectrum's numeric_status. Without a consistency test
+    (uid, kk_status) a spectrum is parsed-not-screened; one that only warns or fails needs review."""
+    from ohmtide.functions import scalars as S
+
+    f, re, im = F.col("frequency_hz"), F.col("zreal"), F.col("neg_zimag")
+    base = points.withColumns({"omega": S.omega(f), "tau_s": S.tau(f), "modulus": S.modulus(re, im), "phase_degrees": S.phase_degrees(re, im)})
+    if kk is None:
+        return base.withColumn("numeric_status", F.lit("parsed-not-screened"))
+    status = F.when(F.col("kk_status").isNull(), "parsed-not-screened").when(F.col("kk_status") == "screen-pass", "consistency-screen-pass").otherwise("review-required")
+    return base.join(kk.select("uid", "kk_status"), "uid", "left").withColumn("numeric_status", status).drop("kk_status")

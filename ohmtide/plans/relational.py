@@ -522,3 +522,27 @@ def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = B.read(spark, sf_dir, "documents")
     start = F.substring("text", 1, 5)
     return d.select("doc_id", S.slug(F.concat("source", F.lit(" "), F.substring("text", 1, 30))).alias("slug"), S.spreadsheet_safe(start).alias("cell"))
+
+
+@query("""SELECT s_suppkey AS uid, CASE WHEN s_suppkey % 11 = 0 THEN 'numerical-not-completed' WHEN s_suppkey % 7 = 0 THEN 'not-ordinary-RC-eligible' WHEN s_suppkey % 5 = 0 THEN 'diagnostic-or-unreviewed-display-role' WHEN s_suppkey % 13 = 0 THEN 'missing-cell-or-sample-identity'
+  WHEN s_suppkey % 3 = 0 THEN 'missing-direction' WHEN s_suppkey % 17 = 0 THEN 'missing-finite-voltage' WHEN s_suppkey % 4 = 0 THEN 'unsupported-or-missing-impedance-basis' ELSE 'eligible-awaiting-group' END AS plot_reason FROM supplier""")
+def trend_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("s_suppkey")
+    r = B.read(spark, sf_dir, "supplier").select(
+        u.alias("uid"), F.when(u % 11 != 0, "completed").alias("status"), (u % 7 != 0).alias("ordinary_rc_eligible"), F.when(u % 5 == 0, "diagnostic-only").otherwise("included").alias("display_role"),
+        F.when(u % 13 != 0, "c1").alias("cell_id"), F.lit("").alias("sample_id"), F.when(u % 3 != 0, "charge").alias("direction"), F.when(u % 17 == 0, float("nan")).otherwise(3.7).alias("voltage_v"), F.when(u % 4 == 0, "S").otherwise("ohm").alias("basis"),
+    )
+    return T.trend_eligibility(r).select("uid", "plot_reason")
+
+
+@query(f"""WITH {B.SQL}, s AS (SELECT uid, zreal * CASE WHEN uid % 2 = 0 THEN 0.001e0 ELSE 1 END AS v FROM p), m AS (SELECT uid, max(abs(v)) AS t, min(v) AS lo, max(v) AS hi FROM s GROUP BY uid)
+SELECT uid, CASE WHEN t < 0.1 THEN 1000e0 ELSE 1e0 END AS unit_factor, round((lo - 0.06e0 * (hi - lo)) * CASE WHEN t < 0.1 THEN 1000 ELSE 1 END, 6) + 0e0 AS low, round((hi + 0.06e0 * (hi - lo)) * CASE WHEN t < 0.1 THEN 1000 ELSE 1 END, 6) + 0e0 AS high FROM m""")
+def display_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = B.points(spark, sf_dir).withColumn("v", F.col("zreal") * F.when(F.col("uid") % 2 == 0, 0.001).otherwise(1.0))
+    return T.display_limits(p, "uid", "v").select("uid", "unit_factor", r6("low").alias("low"), r6("high").alias("high"))
+
+
+@query(f"""WITH {B.SQL} SELECT uid, i, round(sqrt(zreal * zreal + neg_zimag * neg_zimag), 6) + 0e0 AS modulus, CASE uid % 3 WHEN 0 THEN 'consistency-screen-pass' WHEN 1 THEN 'review-required' ELSE 'parsed-not-screened' END AS numeric_status FROM p""")
+def eis_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kk = B.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("uid"), F.when(F.col("s_suppkey") % 3 == 0, "screen-pass").otherwise("warn").alias("kk_status")).where("uid % 3 <> 2")
+    return T.quantities(B.points(spark, sf_dir), kk).select("uid", "i", r6("modulus").alias("modulus"), "numeric_status")

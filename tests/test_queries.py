@@ -46,3 +46,19 @@ def test_whole_analysis(spark):
     peaks = tables["peaks"].where(F.col("relative_height") > 0.1).groupBy("uid").count().toPandas()
     assert (peaks["count"] == 2).all()
     assert tables["reconstructions"].count() == points.count() and (tables["drift"].toPandas().status == "no-strong-monotonic-drift").all()
+
+
+def test_demo_bundle_and_report(spark):
+    from ohmtide.plans.demo import demo
+    from ohmtide.sinks import bundle
+
+    points = demo(spark, 2)
+    assert points.count() == 4 * 61 and points.select("voltage_v").distinct().count() == 2
+    tables = {k: t.cache() for k, t in analysis.run(points.select("uid", "i", "frequency_hz", "zreal", "neg_zimag"), bridge.spectra(points)).items() if k in ("results", "peaks")}
+    identity = points.select("uid", F.concat("direction", F.lit("-"), F.col("voltage_v").cast("string")).alias("label"), F.lit("ohm").alias("basis")).distinct()
+    out = bundle.bundle(tables, identity)
+    assert set(out["peaks"].columns) >= {"label", "basis", "confidence"} and out["results"].where("label IS NULL").count() == 0
+    with pytest.raises(ValueError):
+        bundle.bundle(tables, identity.union(identity))
+    text = bundle.report(tables["results"], tables["peaks"])
+    assert "- completed: 4" in text and "| 0 | P1 |" in text
