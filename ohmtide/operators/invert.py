@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 STATUS = "status string, error string"
 
@@ -37,5 +38,9 @@ def per_spectrum(spectra: DataFrame, solve: Callable[..., list[dict]], schema: s
     types = dict(spectra.dtypes)
     whole = ", ".join([f"uid {uid}", *(f"{c} {types[c]}" for c in carry), schema, STATUS])
     dealt = spectra.select("uid", "points", *carry)
+    # Each core has a task of its own; linear algebra that starts threads besides would only make them wait for each other.
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
+        dealt.sparkSession.sparkContext.environment.setdefault(name, "1")
     tasks = max(dealt.sparkSession.sparkContext.defaultParallelism, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.repartition(tasks, "uid").mapInPandas(run, whole)
+    # By a hash of its own: by uid alone, an aggregation by uid before would pass for the dealing, and may be one task.
+    return dealt.repartition(tasks, F.xxhash64("uid", F.lit("dealt"))).mapInPandas(run, whole)
