@@ -278,3 +278,15 @@ def test_choices_of_a_next_token_sum_to_at_most_one():
             c = np.array([counts.get(x, 0) for x in seq])
             p += float(np.exp(mixing.Model(total, distinct).score(arr, np.array([0, len(seq)]), c, np.array([False]))[-1]))
         assert 0.5 < p <= 1 + 1e-9, (n, p)
+
+
+def test_scores_learn_from_all_training_texts_however_the_input_is_cut(spark):
+    """Small lots, more files and another order of rows give the scores of one lot."""
+    rng = random.Random(16)
+    rows = [(i, " ".join(f"v{min(int(rng.paretovariate(1)), 200)}" for _ in range(rng.randrange(5, 80)))) for i in range(300)]
+    rows = [(i, f"{t} {t}" if i % 3 else t) for i, t in rows]
+    whole = {r.doc_id: r for r in mixing.score(frame(spark, rows).coalesce(1)).collect()}
+    cut = {r.doc_id: r.score for r in mixing.score(frame(spark, rows[::-1]).repartition(5, "doc_id"), lot_bytes=2000).collect()}
+    assert all(abs(whole[d].score - cut[d]) < 1e-6 for d in whole)
+    held = [r for r in whole.values() if r.held_out]
+    assert len(held) > 20 and sum(r.score for r in held) > sum(r.base_score for r in held)
