@@ -200,29 +200,37 @@ def _name(stream: Column, attempt: int) -> Column:
     return out
 
 
+#: Draws in the space of an entity's own length and range. Each later one has a wider space: addresses and telephone numbers are a
+#: character longer with each, so that there are soon more than enough. Other kinds have more values than any corpus has entities.
+FIRM = 4
+
+
 def draw(key: str, attempt: int) -> Column:
     """The surrogate of columns kind and canonical, in canonical form."""
     c, kind = F.col("canonical"), F.col("kind")
 
     def of(s: Column) -> Column:
         n = F.length(c)
+        more = lambda chars: F.concat(F.lit(""), *[F.substring(F.lit(chars), _byte(s, 127 - i) % len(chars) + 1, F.lit(1)) for i in range(attempt + 1 - FIRM)])
         at = F.instr(c, "@")
         host = F.substring(c, at + 1, n)
         tld = F.substring_index(host, ".", -1)
         name = F.substring(host, F.lit(1), F.length(host) - F.length(tld))
         # The host has a stream of its own: addresses of one host stay so.
         host_stream = F.concat(*[F.sha2(F.concat_ws("\x1f", F.lit(str(i)), F.lit(key), F.lit("host"), host), 256) for i in range(4)])
-        email = F.concat(_letters(F.substring(c, F.lit(1), at - 1), s), F.lit("@"), _letters(name, host_stream), tld)
+        email = F.concat(_letters(F.substring(c, F.lit(1), at - 1), s), more("abcdefghijklmnopqrstuvwxyz"), F.lit("@"), _letters(name, host_stream), tld)
         drawn = _letters(c, s)
         rest = lambda i: F.substring(drawn, i, n)
         exchange = F.when((F.length(c) == 11) & (F.substring(c, 5, 3) == "555"), F.concat(F.lit("555"), rest(8))).otherwise(rest(5)) if attempt < 3 else rest(5)
-        phone = F.concat(F.substring(c, 1, 1), (2 + _byte(s, 1) % 8).cast("string"), F.substring(drawn, 3, 2), exchange)
+        phone = F.concat(F.substring(c, 1, 1), (2 + _byte(s, 1) % 8).cast("string"), F.substring(drawn, 3, 2), exchange, more("0123456789"))
         payload = F.concat(F.substring(c, 1, 1), F.substring(drawn, F.lit(2), n - 2))
         valid = luhn_digit(F.substring(c, F.lit(1), n - 1)).cast("string") == F.substring(c, -1, 1)
         card = F.concat(payload, F.when(valid, luhn_digit(payload)).otherwise((luhn_digit(payload) + 1 + _byte(s, 120) % 9) % 10).cast("string"))
         ssn = F.concat((1 + _byte(s, 0) % 5).cast("string"), rest(2))
         octets = [_byte(s, i) for i in range(4)]
-        first = F.when(c.startswith("10."), F.lit("10.")).when(c.startswith("192.168."), F.lit("192.168."))
+        near, far = c.startswith("192.168."), c.startswith("10.")
+        # Private addresses go to a larger private range, then to any, where their own has too few.
+        first = F.when(far, F.lit("10.")).when(near, F.lit("192.168.")) if attempt < FIRM else F.when(near | far, F.lit("10.")) if attempt < 2 * FIRM else F.lit(None).cast("string")
         ip = F.concat(F.coalesce(first, F.concat((11 + octets[0] % 89).cast("string"), F.lit("."))), F.when(first == "192.168.", F.lit("")).otherwise(F.concat(octets[1].cast("string"), F.lit("."))), octets[2].cast("string"), F.lit("."), octets[3].cast("string"))
         hexed = F.array_join(F.transform(F.split(c, ""), lambda x, i: F.when(x.between("0", "9") | x.between("a", "f"), F.substring(F.lit("0123456789abcdef"), _byte(s, i) % 16 + 1, F.lit(1))).when(x.between("A", "F"), F.substring(F.lit("0123456789ABCDEF"), _byte(s, i) % 16 + 1, F.lit(1))).otherwise(x)), "")
         is_hex = c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
@@ -260,7 +268,7 @@ def assign(entities: DataFrame, key: str, most: int = 30) -> DataFrame:
 def written_as(kind: Column, raw: Column, surrogate: Column) -> Column:
     """A surrogate in the format of the original: its separators, and its capitals."""
     plain = F.regexp_replace(surrogate, r"[^\p{L}\p{N}]", "")
-    short = (kind == "phone") & (F.length(F.regexp_replace(raw, r"[^0-9]", "")) == F.length(plain) - 1)
+    short = (kind == "phone") & (F.length(F.regexp_replace(raw, r"[^0-9]", "")) == 10)
     letters = F.split(F.when(short, F.substring(plain, F.lit(2), F.length(plain))).otherwise(plain), "")
 
     def overlay(own: Column) -> Column:
@@ -271,10 +279,11 @@ def written_as(kind: Column, raw: Column, surrogate: Column) -> Column:
             x = F.get(own, a["k"])
             return F.when(is_own(c), F.struct((a["k"] + 1).alias("k"), F.concat(a["s"], F.when(c != F.lower(c), F.upper(x)).otherwise(x)).alias("s"))).otherwise(F.struct(a["k"].alias("k"), F.concat(a["s"], c).alias("s")))
 
-        return F.aggregate(chars, F.struct(F.lit(0).alias("k"), F.lit("").alias("s")), step)["s"]
+        # What a wider space has added follows at the end.
+        return F.aggregate(chars, F.struct(F.lit(0).alias("k"), F.lit("").alias("s")), step, lambda a: F.concat(a["s"], F.array_join(F.slice(own, a["k"] + 1, F.greatest(F.size(own) - a["k"], F.lit(0))), "")))
 
     names = F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.length(surrogate)))
-    return F.when(kind.isin("ip", "ipv6", "secret"), surrogate).when(kind.isin("given_f", "given_m", "surname"), names).otherwise(let(letters, overlay))
+    return F.when(kind.isin("ip", "ipv6", "secret"), surrogate).when(kind.isin("given_f", "given_m", "surname"), names).when((kind == "email") & (F.length(surrogate) != F.length(raw)), F.when(raw == F.upper(raw), F.upper(surrogate)).otherwise(surrogate)).otherwise(let(letters, overlay))
 
 
 def replace(documents: DataFrame, key: str) -> DataFrame:

@@ -71,3 +71,18 @@ def test_the_quick_search_finds_what_the_patterns_find(spark):
     whole = F.regexp_extract_all("text", F.lit(surrogates.ANY), F.lit(0))
     for r in rows.select("doc_id", whole.alias("a"), F.transform(surrogates._entities(F.col("text")), lambda e: e["raw"]).alias("b")).collect():
         assert r.a == r.b, r.doc_id
+
+
+def test_small_spaces_of_surrogates_are_widened(spark):
+    """All addresses of one letter at a host, and more addresses 192.168.x.y than have any others left in their range."""
+    from pyspark.sql import functions as F
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    ips = spark.range(40_000).select(F.lit("ip").alias("kind"), F.concat_ws(".", F.lit("192.168"), F.expr("id div 256"), F.expr("id % 256")).alias("canonical"))
+    mails = spark.createDataFrame([("email", f"{a}@h.example.com") for a in letters], "kind string, canonical string")
+    got = surrogates.assign(ips.unionByName(mails), "k").toPandas()
+    assert len(got) == 40_026 and got.surrogate.is_unique and not set(got.surrogate) & set(got.canonical)
+    assert got.surrogate[got.kind == "ip"].str.match(r"(192\.168|10\.\d+)\.\d+\.\d+$").all()
+    rows = spark.createDataFrame([(i, f"to {a}@h.example.com, {a.upper()}@H.EXAMPLE.COM") for i, a in enumerate(letters)], "doc_id bigint, text string")
+    texts = {r.text for r in surrogates.replace(rows, "k").collect()}
+    assert len({t.lower() for t in texts}) == 26 and all(t[3:].split(", ")[0].upper() == t.split(", ")[1] for t in texts)
