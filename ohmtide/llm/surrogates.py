@@ -1,7 +1,8 @@
 """Surrogates for personal data: keyed, consistent in type, gender, script and format.
 
 Entities are found by patterns: e-mail addresses, telephone, card, social security and account (IBAN) numbers, IP addresses,
-secrets (long hexadecimal and prefixed tokens), and names after a form of address, whose parts are replaced one by one. An
+secrets (long hexadecimal and prefixed tokens), and names after a form of address, whose parts are replaced one by one, as are
+their further mentions in the text; an initial gets a letter, which others may share. An
 entity's surrogate is drawn from a keyed digest of its kind and canonical form, letter for letter and digit for digit, so the same
 entity has the same surrogate in all documents, however it was spaced or capitalised there; it is then written in the format of
 the original. Valid card and account numbers stay valid, invalid ones invalid; names keep gender and script.
@@ -18,12 +19,22 @@ from pyspark.sql import functions as F
 from ohmtide.llm.common import drop_written, join_small, written
 from ohmtide.llm.native import let, positions
 
-FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Madame", "Mademoiselle", "Sra", "Señora", "Doña", "Signora", "г-жа", "госпожа", "Госпожа"]
-MALE = ["Mr", "Sir", "Herr", "Monsieur", "Sr", "Señor", "Don", "Signor", "г-н", "господин", "Господин"]
-_F, _M = "|".join(FEMALE), "|".join(MALE)
-_FIRST = "".join(sorted({w[0] for w in FEMALE + MALE}))
-_ADDRESS = rf"(?<![\p{{L}}\p{{N}}])(?=[{_FIRST}])(?:{_F}|{_M})\.? "
-_PART = r"\p{Lu}\p{Ll}{1,24}[ -]"
+FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Madame", "Mademoiselle", "Sra", "Señora", "Doña", "Signora", "г-жа", "госпожа", "Госпожа", "MRS", "MISS", "FRAU", "MME"]
+MALE = ["Mr", "Sir", "Herr", "Monsieur", "Sr", "Señor", "Don", "Signor", "г-н", "господин", "Господин", "MR", "HERR"]
+#: Say nothing of gender.
+NEUTRAL = ["Dr", "DR", "Prof", "PROF", "Professor", "Доктор", "доктор"]
+_F, _M, _N = "|".join(FEMALE), "|".join(MALE), "|".join(NEUTRAL)
+_FIRST = "".join(sorted({w[0] for w in FEMALE + MALE + NEUTRAL}))
+_ADDRESS = rf"(?<![\p{{L}}\p{{N}}])(?=[{_FIRST}])(?:{_F}|{_M}|{_N})\.? "
+#: A part of a name: letters, small or capital, with an apostrophe after the first or before a capital one. Not a second title.
+_NAME = rf"(?!(?:{_N})(?![\p{{L}}]))\p{{Lu}}(?:['’]?\p{{L}})(?:\p{{L}}|['’](?=\p{{Lu}})){{0,28}}"
+_PARTICLE = "(?:van|von|der|den|de|del|della|la|da|di|zu) "
+_PART = rf"(?:{_NAME}[ -]|\p{{Lu}}\.[ -]?|\p{{Lu}}[ -]|{_PARTICLE})"
+#: Parts before one that is found. Java looks behind over plain runs and nested options only.
+_BEFORE = 7
+_BEHIND = ""
+for _ in range(_BEFORE):
+    _BEHIND = rf"(?:(?:\p{{Lu}}[\p{{L}}'’]{{1,30}}[ -]|\p{{Lu}}\.[ -]?|\p{{Lu}}[ -]|{_PARTICLE}){_BEHIND})?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 #: In the order in which they are tried at a place.
@@ -36,17 +47,17 @@ PATTERNS = {
     "ip": rf"(?<![\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{N}}]|\.\p{{N}})",
     "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![\p{N}])\d(?:[ -]?\d){12,18}(?![\p{N}])",
-    "name": rf"(?<={_ADDRESS}(?:{_PART}(?:{_PART})?)?)\p{{Lu}}\p{{Ll}}{{1,24}}(?![\p{{L}}])",
+    "name": rf"(?=\p{{Lu}})(?<={_ADDRESS}{_BEHIND})(?:{_NAME}|\p{{Lu}})(?![\p{{L}}])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Parts of all forms of address and prefixes of tokens: a line without any of them, and without a digit or @, has no entity and is not looked at further.
-STEMS = ["Mr", "Ms", "Miss", "Mad", "Frau", "Mme", "Sra", "Señor", "Doña", "Sign", "г-", "оспо", "Sir ", "Herr", "Monsieur", "Sr", "Don ", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-"]
+STEMS = ["Mr", "Ms", "Miss", "Mad", "Frau", "Mme", "Sra", "Señor", "Doña", "Sign", "г-", "оспо", "Sir ", "Herr", "Monsieur", "Sr", "Don ", "MR", "MISS", "MME", "FRAU", "HERR", "Dr", "DR", "Prof", "PROF", "октор", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-"]
 #: Where entities can be: runs of words (between white space) with a digit or @ in each, a form of address with names, or a
 #: token with a known prefix. Looking for
 #: these first takes one quick pass; the patterns above then see little of a text. White space bounds a run, so what they look for
 #: before and after an entity is the same as in the text.
 _DIGITS = r"[^\s0-9@]*+[0-9@]\S*+"
-SPAN = rf"(?<!\S){_DIGITS}(?: (?:{_DIGITS}|[A-Z]{{4}}(?= )))*+|{_ADDRESS}\p{{Lu}}\p{{Ll}}{{1,24}}(?:[ -]\p{{Lu}}\p{{Ll}}{{1,24}}){{0,2}}(?![\p{{L}}])|(?<![\p{{L}}\p{{N}}])(?=[Ags])(?:AKIA|gh[pousr]_|sk-)[0-9A-Za-z]+"
+SPAN = rf"(?<!\S){_DIGITS}(?: (?:{_DIGITS}|[A-Z]{{4}}(?= )))*+|{_ADDRESS}{_PART}{{0,{_BEFORE}}}(?:{_NAME}|\p{{Lu}})(?![\p{{L}}])|(?<![\p{{L}}\p{{N}}])(?=[Ags])(?:AKIA|gh[pousr]_|sk-)[0-9A-Za-z]+"
 #: What marks an entity's place in a text, and what stands for these two characters where the text itself has them.
 MARK, ESCAPE = "\ue000", "\ue001"
 
@@ -55,6 +66,7 @@ VOWELS = ["a", "e", "i", "o", "u"]
 CYRILLIC_ONSETS = ["б", "бр", "в", "г", "гр", "д", "ж", "з", "к", "кр", "л", "м", "н", "п", "р", "с", "ст", "т", "тр", "ш"]
 CYRILLIC_VOWELS = ["а", "е", "и", "о", "у"]
 ENDINGS = {
+    ("latin", "given_n"): ["ly", "kim", "ren", "sha", "vin"], ("cyrillic", "given_n"): ["ша", "ня", "ля", "ка", "ги"],
     ("latin", "given_f"): ["na", "lia", "ra", "ine", "elle"], ("latin", "given_m"): ["n", "rt", "no", "lf", "ck"], ("latin", "surname"): ["ner", "sen", "lt", "rez", "ton"],
     ("cyrillic", "given_f"): ["на", "лия", "ра", "ся", "та"], ("cyrillic", "given_m"): ["н", "р", "слав", "мир", "т"], ("cyrillic", "surname"): ["нов", "рин", "лев", "ков", "тин"],
 }
@@ -85,15 +97,21 @@ def _entities(text: Column) -> Column:
     def of(raw: Column, between: Column) -> Column:
         def honour(k: Column) -> Column:
             x = F.get(between, k)
-            return F.when(x.rlike(rf"(?:^|[^\p{{L}}\p{{N}}])(?:{_F})\.? $"), F.lit("f")).when(x.rlike(rf"(?:^|[^\p{{L}}\p{{N}}])(?:{_M})\.? $"), F.lit("m"))
+            after = lambda forms: x.rlike(rf"(?:^|[^\p{{L}}\p{{N}}])(?:{forms})\.? (?:{_PARTICLE})*$")
+            return F.when(after(_F), F.lit("f")).when(after(_M), F.lit("m")).when(after(_N), F.lit("n"))
 
         def joined(k: Column) -> Column:
-            return F.coalesce(F.get(between, k).isin(" ", "-"), F.lit(False))
+            return F.coalesce(F.get(between, k).rlike(rf"^(?:\.?[ -]|\.)(?:{_PARTICLE})*$"), F.lit(False))
 
         def entity(m: Column, k: Column) -> Column:
-            gender = F.coalesce(honour(k), F.when(joined(k), F.coalesce(honour(k - 1), F.when(joined(k - 1), honour(k - 2)))))
-            more = joined(k + 1) & F.coalesce(F.get(raw, k + 1).rlike(r"^\p{Lu}\p{Ll}+$"), F.lit(False))
-            part = F.when(more, F.concat(F.lit("given_"), F.coalesce(gender, F.lit("f")))).otherwise(F.lit("surname"))
+            gender = honour(k)
+            for back in range(_BEFORE, 0, -1):
+                near = joined(k)
+                for i in range(1, back):
+                    near = near & joined(k - i)
+                gender = F.coalesce(gender, F.when(near, honour(k - back)))
+            more = joined(k + 1) & F.coalesce(F.get(raw, k + 1).rlike(r"^\p{Lu}[\p{L}'’]*$"), F.lit(False))
+            part = F.when(F.length(m) == 1, F.lit("initial")).when(more, F.concat(F.lit("given_"), F.coalesce(gender, F.lit("n")))).otherwise(F.lit("surname"))
             return let(kind_of(m), lambda kind: F.struct(F.when(kind == "name", part).otherwise(kind).alias("kind"), canonical(kind, m).alias("canonical"), m.alias("raw")))
 
         return F.transform(raw, entity)
@@ -130,7 +148,30 @@ def _masked(text: Column) -> Column:
 def _unmasked(masked: Column, surrogates: Column) -> Column:
     """The surrogates at their places, and the text's own characters as they were."""
     restored = lambda x: F.replace(F.replace(x, F.lit(ESCAPE + "b"), F.lit(MARK)), F.lit(ESCAPE + "a"), F.lit(ESCAPE))
-    return F.array_join(F.transform(F.split(masked, MARK, -1), lambda x, i: F.concat(restored(x), F.coalesce(F.get(surrogates, i)["surrogate"], F.lit("")))), "")
+
+    def put(parts: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda x, i: F.concat(restored(x), F.coalesce(F.get(surrogates, i)["surrogate"], F.lit("")))), "")
+
+    # Further mentions of the text's names, capitalised as found or all in capitals, get the surrogate of the first such part.
+    def renamed(parts: Column, names: Column, pattern: Column) -> Column:
+        def of(m: Column) -> Column:
+            e = F.get(F.filter(names, lambda e: F.lower(e["raw"]) == F.lower(m)), F.lit(0))
+            return F.when(m == F.upper(m), F.upper(e["surrogate"])).otherwise(F.initcap(e["surrogate"]))
+
+        def one(x: Column) -> Column:
+            found = let(F.transform(F.regexp_extract_all(x, pattern, F.lit(0)), of), lambda f: F.array_join(F.transform(F.split(x, pattern, -1), lambda y, i: F.concat(y, F.coalesce(F.get(f, i), F.lit("")))), ""))
+            return F.when(F.rlike(x, pattern), found).otherwise(x)
+
+        return F.transform(parts, one)
+
+    def whole(names: Column) -> Column:
+        forms = F.array_distinct(F.flatten(F.transform(names, lambda e: F.array(e["raw"], F.upper(e["raw"]), F.initcap(e["raw"])))))
+        return F.concat(F.lit("(?<![\\p{L}\\p{N}])(?:"), F.array_join(forms, "|"), F.lit(")(?![\\p{L}\\p{N}])"))
+
+    names = F.filter(surrogates, lambda e: e["kind"].isin(*[k for k in NAMES if k != "initial"]))
+    # The names and their pattern are made once for a text.
+    parts = let(names, lambda e: let(whole(e), lambda p: let(F.split(masked, MARK, -1), lambda x: F.when(F.size(e) > 0, renamed(x, e, p)).otherwise(x))))
+    return let(parts, put)
 
 
 def _stream(key: str, attempt: int) -> Column:
@@ -241,7 +282,7 @@ def draw(key: str, attempt: int) -> Column:
         iban = F.concat(country, F.when(right, iban_digits(country, account)).otherwise(F.substring(drawn, 3, 2)), account)
         return (
             F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "ip", ip)
-            .when(kind == "ipv6", hexed).when(kind == "secret", secret).when(kind == "iban", iban).otherwise(_name(s, attempt))
+            .when(kind == "initial", drawn).when(kind == "ipv6", hexed).when(kind == "secret", secret).when(kind == "iban", iban).otherwise(_name(s, attempt))
         )
 
     return let(_stream(key, attempt), of)
@@ -250,7 +291,9 @@ def draw(key: str, attempt: int) -> Column:
 def assign(entities: DataFrame, key: str, most: int = 30) -> DataFrame:
     """kind, canonical, surrogate for distinct entities (kind, canonical): one surrogate each, none that is an entity itself."""
     taken_names = entities.select("kind", F.col("canonical").alias("surrogate"))
-    left, done = entities, None
+    # An alphabet has no letters that are no initials, so these are drawn once and may be shared.
+    initials = entities.where("kind = 'initial'").withColumn("surrogate", draw(key, 0)).select("kind", "canonical", "surrogate")
+    left, done = entities.where("kind <> 'initial'"), None
     for attempt in range(most):
         drawn = written(left.withColumn("surrogate", draw(key, attempt)), "drawn")
         first = drawn.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical"))
@@ -261,10 +304,14 @@ def assign(entities: DataFrame, key: str, most: int = 30) -> DataFrame:
         done = fine if done is None else done.unionByName(fine)
         left = written(drawn.select("kind", "canonical").join(fine, ["kind", "canonical"], "left_anti"), "undrawn")
         if not left.count():
-            return done
+            return done.unionByName(initials)
     raise RuntimeError(f"after {most} draws, entities are left without a surrogate")
 
 
+#: Kinds of parts of names.
+NAMES = ("given_f", "given_m", "given_n", "surname", "initial")
+
+
 def written_as(kind: Column, raw: Column, surrogate: Column) -> Column:
     """A surrogate in the format of the original: its separators, and its capitals."""
     plain = F.regexp_replace(surrogate, r"[^\p{L}\p{N}]", "")
@@ -283,15 +330,16 @@ def written_as(kind: Column, raw: Column, surrogate: Column) -> Column:
         return F.aggregate(chars, F.struct(F.lit(0).alias("k"), F.lit("").alias("s")), step, lambda a: F.concat(a["s"], F.array_join(F.slice(own, a["k"] + 1, F.greatest(F.size(own) - a["k"], F.lit(0))), "")))
 
     names = F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.length(surrogate)))
-    return F.when(kind.isin("ip", "ipv6", "secret"), surrogate).when(kind.isin("given_f", "given_m", "surname"), names).when((kind == "email") & (F.length(surrogate) != F.length(raw)), F.when(raw == F.upper(raw), F.upper(surrogate)).otherwise(surrogate)).otherwise(let(letters, overlay))
+    names = F.when((F.length(raw) > 1) & (raw == F.upper(raw)), F.upper(surrogate)).otherwise(names)
+    return F.when(kind.isin("ip", "ipv6", "secret"), surrogate).when(kind.isin(*NAMES), names).when((kind == "email") & (F.length(surrogate) != F.length(raw)), F.when(raw == F.upper(raw), F.upper(surrogate)).otherwise(surrogate)).otherwise(let(letters, overlay))
 
 
 def replace(documents: DataFrame, key: str) -> DataFrame:
     """All columns of `documents` with the entities in `text` replaced, and entities (array<struct<kind, surrogate>>, in order).
 
     Null and empty texts stay as they are, with no entities; texts without entities are unchanged to the byte; repeated rows come
-    out alike; an empty table gives no rows. Other columns, of any names but `entities`, are passed on. The originals are not in
-    the result.
+    out alike; an empty table gives no rows. Other columns, of any names but `entities`, are passed on. Further mentions of a found
+    name in the same text are replaced too, but not listed; names never found after a form of address stay.
     """
     rows = documents.select("doc_id", F.xxhash64("text").alias("th"), _entities(F.col("text")).alias("e")).where(F.size("e") > 0)
     found = written(rows.select("doc_id", "th", F.posexplode("e").alias("k", "e")).select("doc_id", "th", "k", "e.*").distinct(), "entities")
@@ -299,7 +347,7 @@ def replace(documents: DataFrame, key: str) -> DataFrame:
     entities = written(found.select("kind", "canonical").distinct(), "distinct-entities")
     mapping = assign(entities, key)
     own = join_small(found, mapping, n, ["kind", "canonical"], "inner")
-    own = own.select("doc_id", "th", F.struct("k", "kind", written_as(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("surrogate")).alias("e"))
+    own = own.select("doc_id", "th", F.struct("k", "kind", written_as(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("surrogate"), "raw").alias("e"))
     lists = own.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("e")).alias("ohmtide_e")).withColumnsRenamed({"doc_id": "ohmtide_id", "th": "ohmtide_th"})
     lists = written(lists, "replacements")
     for old in (found, entities):
@@ -307,5 +355,5 @@ def replace(documents: DataFrame, key: str) -> DataFrame:
     keyed = documents.withColumn("ohmtide_text_hash", F.xxhash64("text"))
     joined = join_small(keyed, lists, n, F.expr("doc_id <=> ohmtide_id AND ohmtide_text_hash = ohmtide_th"), "left")
     text = F.when(F.col("ohmtide_e").isNotNull(), _unmasked(_masked(F.col("text")), F.col("ohmtide_e"))).otherwise(F.col("text"))
-    listed = F.transform(F.coalesce("ohmtide_e", F.array().cast("array<struct<k:int,kind:string,surrogate:string>>")), lambda e: F.struct(e["kind"].alias("kind"), e["surrogate"].alias("surrogate")))
+    listed = F.transform(F.coalesce("ohmtide_e", F.array().cast("array<struct<k:int,kind:string,surrogate:string,raw:string>>")), lambda e: F.struct(e["kind"].alias("kind"), e["surrogate"].alias("surrogate")))
     return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in documents.columns if c != "entities"], listed.alias("entities"))

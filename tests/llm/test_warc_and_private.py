@@ -86,3 +86,16 @@ def test_small_spaces_of_surrogates_are_widened(spark):
     rows = spark.createDataFrame([(i, f"to {a}@h.example.com, {a.upper()}@H.EXAMPLE.COM") for i, a in enumerate(letters)], "doc_id bigint, text string")
     texts = {r.text for r in surrogates.replace(rows, "k").collect()}
     assert len({t.lower() for t in texts}) == 26 and all(t[3:].split(", ")[0].upper() == t.split(", ")[1] for t in texts)
+
+
+def test_names_of_other_forms_and_further_mentions(spark):
+    rows = ["Mr John Smith left. Smith said, and SMITH; Smithson and smith stay. John too", "Mr McDonald met Ms O'Brien and McDonald's son", "Mr J. Keats, Dr. Anna Weber, MR BLOGGS", "Mrs Ana Bea Cleo Diaz Evora Frey", "Herr Dr. Ulf von Bergen", "Smith alone"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = [r.text for r in surrogates.replace(frame, "k").orderBy("doc_id").collect()]
+    first = re.fullmatch(r"Mr (\w+) (\w+) left\. (\w+) said, and (\w+); Smithson and smith stay\. (\w+) too", got[0])
+    assert first and first[2] == first[3] == first[4].capitalize() and first[1] == first[5] and "Smith" != first[2] and "John" != first[1]
+    assert re.fullmatch(r"Mr (\w+) met Ms \w+ and \1's son", got[1]) and "Donald" not in got[1] and "Brien" not in got[1]
+    assert re.fullmatch(r"Mr [A-Z]\. \w+, Dr\. \w+ \w+, MR [A-Z]+", got[2]) and not re.search("Keats|Anna|Weber|BLOGGS", got[2])
+    assert not re.search("Ana|Bea|Cleo|Diaz|Evora|Frey", got[3])
+    assert re.fullmatch(r"Herr Dr\. \w+ von \w+", got[4]) and "Ulf" not in got[4] and "Bergen" not in got[4]
+    assert got[5] == rows[5]
