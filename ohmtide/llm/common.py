@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, spark.checkpoint.dir; only where that is unset (tests on one machine), a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='ohmtide-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -55,6 +57,31 @@ def join_small(left: DataFrame, right: DataFrame, rows: int, on: list[str], how:
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right.hint("merge"), on, how)
 
 
+def join_dealt(left: DataFrame, right: DataFrame, counts: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left joined ("inner" or "left") with right, which has at most one row a key, where `counts` (on, n) says how many rows of
+    left a key has.
+
+    Keys with more rows than a quarter of a task's fair share are at most four times as many as tasks; their rows stay where they
+    are and meet a broadcast of just these keys. All others are shuffled, and no task gets many rows of one key.
+    """
+    from pyspark.sql import functions as F
+
+    parts = shuffle_parts(left.sparkSession)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = written(counts.where(F.col("n") * 4 * parts > total).select(*on), "hot-keys")
+    if not hot.count():
+        return left.join(right.hint("merge"), on, how)
+    met = left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), on, "left_semi")), on, how)
+    return met.unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right.hint("merge"), on, how))
+
+
+def quoted(name: str):
+    """A column by its whole name, which may have dots and back-quotes."""
+    from pyspark.sql import functions as F
+
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

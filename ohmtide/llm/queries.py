@@ -12,6 +12,7 @@ from ohmtide.llm.common import scratch_path
 TOKENIZER = "byte_bpe_50k.json"
 #: In production, a secret of the run.
 SURROGATE_KEY = "surrogates-1"
+CACHE_SETTING = "spark.ohmtide.tokenCache"
 SHARDS = [f"shard-{i:03d}" for i in range(200)]
 
 
@@ -63,7 +64,9 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = tokencount.count_tokens(_read(spark, sf_dir, "documents"), scratch_path(spark, "token-cache"), public_tokenizers.path(TOKENIZER))
+    # A cache that outlives the run is named in the session; without one, the run begins with an empty cache of its own.
+    cache = spark.conf.get(CACHE_SETTING, None) or scratch_path(spark, "token-cache")
+    counted = tokencount.count_tokens(_read(spark, sf_dir, "documents"), cache, public_tokenizers.path(TOKENIZER))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 

@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ohmtide.llm.common import join_small
+from ohmtide.llm.common import drop_written, join_dealt, join_small, written
 from ohmtide.llm.encoding import encoder, texts_of, tokenizer_digest
 
 CACHE = "text_digest binary, n_tokens bigint, tokenizer_digest string"
@@ -35,22 +35,31 @@ def _cached(spark, cache_path: str, version: str) -> DataFrame:
 def count_tokens(documents: DataFrame, cache_path: str, tokenizer: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens for each row of `documents`, by the tokenizer file `tokenizer` (.json or .model).
 
-    `cache_path` is in a folder that all executors share; it is made where missing. Only doc_id and text are read. A null text
-    counts as empty, with no tokens; a null doc_id is kept; repeated rows each come out; an empty table gives no rows and appends
-    none. Texts are encoded whole, in lots of about a million characters.
+    `cache_path` is in a folder that all executors share; it is made where missing, and what it has is not encoded again. Only
+    doc_id and text are read. A null text counts as empty, with no tokens; a null doc_id is kept; repeated rows each come out, and
+    their text is encoded once; an empty table gives no rows and appends none. Texts are encoded whole, in lots of about a million
+    characters; very long ones and long runs of white space have the ids that the library gives them.
     """
     spark, version = documents.sparkSession, tokenizer_digest(tokenizer)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("text_digest"))
-    narrow = rows.select("doc_id", "text_digest")
-    first = narrow.groupBy("text_digest").agg(F.min("doc_id").alias("first_id"))
-    missing = first.join(_cached(spark, cache_path, version), "text_digest", "left_anti")
+    sized = written(rows.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "text_digest"), "token-rows")
+    # Each text's first document, and how many rows say that they are it: a text is encoded where that one row lies.
+    same = sized.groupBy("text_digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    texts = same.groupBy("text_digest").agg(F.sum("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("n"))).alias("first"))
+    texts = written(texts, "token-texts")
+    missing = texts.join(_cached(spark, cache_path, version).select("text_digest"), "text_digest", "left_anti")
+    missing = written(missing.select("text_digest", F.col("first.doc_id").alias("first_id"), F.col("first.n").alias("alike")), "token-missing")
     # Rows not to encode: those of texts that the cache has, and copies. Mostly they are few, and the texts need no shuffle.
-    skip = narrow.join(missing.withColumnsRenamed({"text_digest": "m_digest"}), F.expr("text_digest = m_digest AND doc_id <=> first_id"), "left_anti").distinct()
-    skip = skip.withColumnsRenamed({"text_digest": "s_digest", "doc_id": "s_id"}).persist()
-    n = skip.count()
-    same = F.expr("text_digest = s_digest AND doc_id <=> s_id")
-    todo = join_small(rows, skip, n, same, "left_anti")
+    m = missing.where("alike = 1").withColumnRenamed("text_digest", "m_digest")
+    skip = same.select("doc_id", "text_digest").join(m, F.expr("text_digest = m_digest AND doc_id <=> first_id"), "left_anti")
+    skip = written(skip.withColumnsRenamed({"text_digest": "s_digest", "doc_id": "s_id"}), "token-skip")
+    todo = join_small(rows, skip, skip.count(), F.expr("text_digest = s_digest AND doc_id <=> s_id"), "left_anti").select("text_digest", "text")
+    # Of rows that nothing tells apart, one text is taken.
+    alike = missing.where("alike > 1").select("text_digest")
+    n_alike = alike.count()
+    if n_alike:
+        todo = todo.unionByName(join_small(rows.select("text_digest", "text"), alike, n_alike, ["text_digest"], "left_semi").groupBy("text_digest").agg(F.min("text").alias("text")))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
@@ -60,8 +69,8 @@ def count_tokens(documents: DataFrame, cache_path: str, tokenizer: str) -> DataF
                 counts[at : at + len(lot)] = [len(ids) for ids in own.encode(lot)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts)], ["text_digest", "n_tokens"])
 
-    new = todo.select("text_digest", "text").mapInArrow(encoded, "text_digest binary, n_tokens bigint")
+    new = todo.mapInArrow(encoded, "text_digest binary, n_tokens bigint")
     new.withColumn("tokenizer_digest", F.lit(version)).write.mode("append").parquet(cache_path)
-    skip.unpersist()
-    sized = documents.select("doc_id", F.octet_length(text).cast("bigint").alias("n_bytes"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("text_digest"))
-    return sized.join(_cached(spark, cache_path, version), "text_digest").select("doc_id", "n_bytes", "n_tokens")
+    for old in (missing, skip):
+        drop_written(spark, old)
+    return join_dealt(sized, _cached(spark, cache_path, version), texts.select("text_digest", "n"), ["text_digest"]).select("doc_id", "n_bytes", "n_tokens")

@@ -290,3 +290,41 @@ def test_scores_learn_from_all_training_texts_however_the_input_is_cut(spark):
     assert all(abs(whole[d].score - cut[d]) < 1e-6 for d in whole)
     held = [r for r in whole.values() if r.held_out]
     assert len(held) > 20 and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_long_runs_are_encoded_as_the_library_does(spark):
+    """A million line breaks, spaces and letters, through the counts, the packing and their common encoder."""
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = ["\n" * 1_000_000, "a " + " " * 1_000_000 + "b", "x" * 300_000, "w " * 100_000, " \t\n" * 70_000]
+    want = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    rows = frame(spark, list(enumerate(texts)))
+    got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(rows, scratch_path(spark, "cache"), PATH).collect()}
+    assert got == want
+    packed = packing.pack(rows, PATH).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] - 1 for r in packed} == want
+    ten_million = " " * 10_000_000
+    assert encoding.encoder(PATH).encode([ten_million])[0] == tokenizer.encode(ten_million, add_special_tokens=False).ids
+
+
+def test_only_distinct_misses_are_encoded(spark):
+    """Equal rows, null ids, copies under other ids, and a second run: the cache gets each text once."""
+    rows = [(7, "same text")] * 50 + [(None, "no id")] * 20 + [(None, "same text")] + [(i, f"copy {i % 3}") for i in range(30)] + [(1, None), (2, "")]
+    cache = scratch_path(spark, "cache")
+    first = tokencount.count_tokens(frame(spark, rows), cache, PATH).collect()
+    assert len(first) == len(rows) and spark.read.parquet(cache).count() == 6
+    again = tokencount.count_tokens(frame(spark, rows + [(99, "one more")]), cache, PATH).collect()
+    assert len(again) == len(rows) + 1 and spark.read.parquet(cache).count() == 7
+    tokenizer = Tokenizer.from_file(PATH)
+    for d, n_bytes, n in again:
+        own = {t or "" for e, t in rows + [(99, "one more")] if e == d}
+        assert (n_bytes, n) in {(len(t.encode()), len(tokenizer.encode(t, add_special_tokens=False).ids)) for t in own}
+
+
+def test_past_their_bounds_joins_give_the_same(spark, monkeypatch):
+    from ohmtide.llm import common
+
+    rows = near_copies(3, 4, 5, 20) + [(1000 + i, "the same words in many copies of one text, again and again") for i in range(300)]
+    plain_counts = sorted(map(tuple, tokencount.count_tokens(frame(spark, rows), scratch_path(spark, "cache"), PATH).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, tokencount.count_tokens(frame(spark, rows), scratch_path(spark, "cache"), PATH).collect())) == plain_counts
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 200_000)
