@@ -58,8 +58,8 @@ def join_small(left: DataFrame, right: DataFrame, rows: int, on: list[str], how:
 
 
 def join_dealt(left: DataFrame, right: DataFrame, counts: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """left joined ("inner" or "left") with right, which has at most one row a key, where `counts` (on, n) says how many rows of
-    left a key has.
+    """left joined ("inner" or "left") with right, which has at most one row a key, where `counts` (on, ohmtide_n) says how many rows
+    of left a key has.
 
     Keys with more rows than a quarter of a task's fair share are at most four times as many as tasks; their rows stay where they
     are and meet a broadcast of just these keys. All others are shuffled, and no task gets many rows of one key.
@@ -67,14 +67,28 @@ def join_dealt(left: DataFrame, right: DataFrame, counts: DataFrame, on: list[st
     from pyspark.sql import functions as F
 
     parts = shuffle_parts(left.sparkSession)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = written(counts.where(F.col("n") * 4 * parts > total).select(*on), "hot-keys")
+    total = counts.agg(F.sum("ohmtide_n")).first()[0] or 0
+    hot = written(counts.where(F.col("ohmtide_n") * 4 * parts > total).select(*on), "hot-keys")
     if not hot.count():
         return left.join(right.hint("merge"), on, how)
     met = left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), on, "left_semi")), on, how)
     return met.unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right.hint("merge"), on, how))
 
 
+def most_frequent(counted: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of a table with the highest counts, at most `most`: all over a threshold that a histogram gives (eight steps an octave,
+    so that what comes to the driver has a few hundred rows). Rows of equal counts stay together; none may be left."""
+    from pyspark.sql import functions as F
+
+    step = F.floor(F.log2(F.col(count)) * 8)
+    taken, least = 0, None
+    for s, n in counted.where(F.col(count) > 0).groupBy(step.alias("s")).count().orderBy(F.desc("s")).collect():
+        if taken + n > most:
+            break
+        taken, least = taken + n, s
+    return counted.where(F.lit(False)) if least is None else counted.where((F.col(count) > 0) & (step >= least))
+
+
 def quoted(name: str):
     """A column by its whole name, which may have dots and back-quotes."""
     from pyspark.sql import functions as F

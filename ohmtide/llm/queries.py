@@ -96,17 +96,20 @@ b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_wo
   + 8 * (100 * n_dup_lines > 50 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (n_words > 100000)::INT AS BIGINT) AS failure_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failure_bits & 3 <> 0 AS base_failed, failure_bits & 31 = 0 AS kept, failure_bits FROM b""",
     "op5_line_chunks": r"""
-WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-h AS (SELECT r, doc_id, text, l, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h,
-  list_transform(l, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 40) AS g FROM d),
-e AS (SELECT r, unnest(list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR g[i] OR coalesce(g[i + 1], false)
-  OR ((((31 * coalesce(h[i - 1], 0) + 17 * h[i]) % 4294967296) >> 7) % 2 = 0))) AS e FROM h),
-f AS (SELECT r, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY e), 0) AS b FROM e),
-c AS (SELECT r, doc_id, b, array_to_string(l[b + 1:e], chr(10)) AS chunk, len(list_filter(l[b + 1:e], lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS lines, g[e] AS g FROM f JOIN h USING (r)),
-w AS (SELECT *, lines >= 2 OR g AS whole FROM c),
-n AS (SELECT chunk, count(*) AS n, min((doc_id, b)) AS first FROM w WHERE whole GROUP BY chunk),
-k AS (SELECT w.*, whole AND n.n > 1 AND (doc_id, b) <> n.first AS gone FROM w LEFT JOIN n ON w.whole AND w.chunk = n.chunk),
-t AS (SELECT r, coalesce(string_agg(chunk, chr(10) ORDER BY b) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS removed_chunks, coalesce(sum(lines) FILTER (gone), 0)::BIGINT AS removed_lines FROM k GROUP BY r)
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+h AS (SELECT r, doc_id, l, list_transform(l, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS n, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM d),
+o AS (SELECT r, l, n, h, doc_id, list_transform(range(1, len(l) + 1), lambda i: i = len(l) OR n[i] >= 8 OR coalesce(n[i + 1], 0) >= 8) AS own FROM h),
+g AS (SELECT r, i AS i, own[i] AS own, h[i] AS h, coalesce(own[i - 1], true) AS fresh, h[i - 1] AS p FROM (SELECT r, h, own, unnest(range(1, len(l) + 1)) AS i FROM o)),
+e AS (SELECT r, i AS e FROM g WHERE own OR (((31 * (CASE WHEN fresh THEN 0 ELSE p END) + 17 * h) % 4294967296) >> 7) % 2 = 0),
+f AS (SELECT r, e, coalesce(lag(e) OVER w, 0) AS b, row_number() OVER w AS k FROM e WINDOW w AS (PARTITION BY r ORDER BY e)),
+c AS (SELECT r, doc_id, k, b, array_to_string(l[b + 1:e], chr(10)) AS chunk, list_sum(n[b + 1:e]) AS words, len(list_filter(n[b + 1:e], lambda x: x > 0)) AS lines FROM f JOIN o USING (r)),
+u AS (SELECT r, doc_id, k, b, 1 AS size, chunk AS unit FROM c WHERE words >= 40
+  UNION ALL SELECT * FROM (SELECT r, doc_id, k, b, 2 AS size, chunk || chr(10) || lead(chunk) OVER (PARTITION BY r ORDER BY k) AS unit FROM c) WHERE unit IS NOT NULL),
+m AS (SELECT size, unit, min((doc_id, b)) AS first FROM u GROUP BY ALL HAVING count(*) > 1),
+x AS (SELECT DISTINCT r, unnest(range(k, k + u.size)) AS k FROM u JOIN m ON u.size = m.size AND u.unit = m.unit WHERE (doc_id, b) <> first),
+i AS (SELECT r, k, words, lines, k - row_number() OVER (PARTITION BY r ORDER BY k) AS island FROM x JOIN c USING (r, k)),
+z AS (SELECT r, k, lines FROM (SELECT *, sum(words) OVER (PARTITION BY r, island) AS run FROM i) WHERE run >= 40),
+t AS (SELECT c.r, coalesce(string_agg(chunk, chr(10) ORDER BY c.k) FILTER (z.k IS NULL), '') AS text, count(z.k) AS removed_chunks, coalesce(sum(z.lines), 0)::BIGINT AS removed_lines FROM c LEFT JOIN z ON c.r = z.r AND c.k = z.k GROUP BY c.r)
 SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE t.text END AS text, removed_chunks, removed_lines FROM d JOIN t USING (r)""",
     "op7_decontaminate": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM documents),

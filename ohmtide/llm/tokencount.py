@@ -73,4 +73,4 @@ def count_tokens(documents: DataFrame, cache_path: str, tokenizer: str) -> DataF
     new.withColumn("tokenizer_digest", F.lit(version)).write.mode("append").parquet(cache_path)
     for old in (missing, skip):
         drop_written(spark, old)
-    return join_dealt(sized, _cached(spark, cache_path, version), texts.select("text_digest", "n"), ["text_digest"]).select("doc_id", "n_bytes", "n_tokens")
+    return join_dealt(sized, _cached(spark, cache_path, version), texts.select("text_digest", F.col("n").alias("ohmtide_n")), ["text_digest"]).select("doc_id", "n_bytes", "n_tokens")

@@ -82,45 +82,78 @@ def test_decontamination(spark):
 
 
 def plain_chunks(rows):
-    first, out = {}, {}
-    cut = {}
+    """Texts without runs of repeated chunks, by lists and dictionaries of strings."""
+    cut, places = {}, {}
     for d, t in rows:
-        lines = t.split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        long = [len(WORD.findall(x)) >= chunks.LONG_LINE for x in lines]
-        own, start = [], 0
-        for i in range(len(lines)):
-            rolled = (31 * (h[i - 1] if i else 0) + 17 * h[i]) % (1 << 32)
-            if i == len(lines) - 1 or long[i] or long[i + 1] or (rolled >> 7) % chunks.DIVISOR == 0:
-                part = lines[start : i + 1]
-                own.append((start, "\n".join(part), sum(bool(WORD.search(x)) for x in part) >= 2 or long[i]))
-                start = i + 1
-        cut[d] = own
-        for at, text, whole in own:
-            if whole:
-                first[text] = min(first.get(text, (d, at)), (d, at))
+        lines, own, part, before = t.split("\n"), [], [], 0
+        sizes = [len(WORD.findall(x)) for x in lines] + [8]
+        for i, line in enumerate(lines):
+            part.append((i, line, sizes[i]))
+            h = int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
+            if sizes[i] >= 8 or sizes[i + 1] >= 8:
+                ends, before = True, 0
+            else:
+                ends, before = ((31 * before + 17 * h) % 2**32 // 128) % 2 == 0, h
+            if ends:
+                own.append(part)
+                part = []
+        cut[d] = [(p[0][0], "\n".join(x for _, x, _ in p), sum(n for _, _, n in p)) for p in [*own, part] if p]
+        for k, (at, text, n) in enumerate(cut[d]):
+            for unit in [(text,)] * (n >= 40) + [(text, x) for _, x, _ in cut[d][k + 1 : k + 2]]:
+                places.setdefault(unit, []).append((d, at, k))
+    marked = {(d, k + j) for unit, found in places.items() for d, at, k in found if (d, at, k) != min(found) for j in range(len(unit))}
+    out = {}
     for d, own in cut.items():
-        out[d] = "\n".join(text for at, text, whole in own if not whole or first[text] == (d, at))
+        kept = []
+        for gone, run in itertools.groupby(enumerate(own), lambda x: (d, x[0]) in marked):
+            run = [c for _, c in run]
+            if not gone or sum(n for _, _, n in run) < 40:
+                kept += [text for _, text, _ in run]
+        out[d] = "\n".join(kept)
     return out
 
 
-def test_line_chunks_also_where_digests_collide(spark):
+def test_line_chunks_also_where_digests_collide(spark, monkeypatch):
+    from ohmtide.llm import common
+
     rng = random.Random(5)
-    shared = ["\n".join(" ".join(words(rng, 8)) for _ in range(9)), " ".join(words(rng, 60)), "a b\n\nc d"]
+    shared = ["\n".join(" ".join(words(rng, 8)) for _ in range(9)), " ".join(words(rng, 60)), "a b\n\nc d", "\n".join(" ".join(words(rng, 3)) for _ in range(30))]
     rows = []
     for i in range(50):
-        own = [" ".join(words(rng, rng.randrange(0, 9))) for _ in range(rng.randrange(1, 12))]
+        own = [" ".join(words(rng, rng.randrange(0, 12))) for _ in range(rng.randrange(1, 12))]
         for s in shared:
             if rng.random() < 0.4:
                 own.insert(rng.randrange(len(own) + 1), s)
         rows.append((i, "\n".join(own)))
     want = plain_chunks(rows)
     assert sum(len(want[d]) < len(t) for d, t in rows) > 20
-    for key in (chunks.digest, lambda c: chunks.F.substring(chunks.digest(c), 1, 1)):
+    for key, bound in ((chunks.digest, 200_000), (lambda unit: chunks.digest(unit)[:1], 200_000), (chunks.digest, 0)):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", bound)
         got = {r.doc_id: r.text for r in chunks.dedup_lines(frame(spark, rows), key).collect()}
         assert got == want
 
 
+def test_planted_passages_go_and_other_lines_stay(spark):
+    """Passages of 50 words and more in lines of several lengths, each in some of 60 documents of other lines: the share of the words of
+    later occurrences that go."""
+    for lines, size, least in ((2, 26, 1.0), (3, 20, 1.0), (5, 12, 1.0), (7, 8, 1.0), (1, 55, 1.0), (20, 5, 0.75)):
+        rng = random.Random(lines)
+        fresh = iter(range(10**7))
+        passages = [[" ".join(f"p{next(fresh)}" for _ in range(size)) for _ in range(lines)] for _ in range(8)]
+        rows, later, first = [], 0, set()
+        for i in range(60):
+            own = [[" ".join(f"x{next(fresh)}" for _ in range(rng.randrange(1, 30)))] for _ in range(6)]
+            for k in rng.sample(range(8), 2):
+                own.insert(rng.randrange(len(own) + 1), passages[k])
+                later += lines * size if k in first else 0
+                first.add(k)
+            rows.append((i, "\n".join(x for part in own for x in part)))
+        got = {r.doc_id: r.text for r in chunks.dedup_lines(frame(spark, rows)).collect()}
+        gone = sum(len(t.split()) - len(got[d].split()) for d, t in rows)
+        assert least * later <= gone <= later
+        assert all([w for w in t.split() if w[0] == "x"] == [w for w in got[d].split() if w[0] == "x"] for d, t in rows)
+
+
 def test_ledger_and_ablations(spark):
     rng = random.Random(7)
     rows = []
