@@ -88,20 +88,22 @@ def parse(files: DataFrame, layout: Layout = Layout()) -> tuple[DataFrame, DataF
         best = F.struct(F.lit(9).alias("score"), F.lit(marks[0]).alias("delimiter"), (F.lit(0) if layout.headerless else row).alias("row"), header.alias("header"), *[at[r].alias(r) for r in S.ROLES], F.array().cast("array<string>").alias("twice"))
     else:
         # Every mark and line is scored by the roles that its fields name; the first of equals wins.
-        def look(mark: str, rank: int) -> Column:
+        def look(m: Column) -> Column:
+            mark, rank = m["mark"], m["rank"]
+
             def one(line: Column, i: Column) -> Column:
-                return S.let(_fields(line, F.lit(mark)), lambda header: S.let(F.transform(header, lambda x: F.coalesce(S.header_role(x), F.lit(""))), lambda roles: scored(header, roles, i)))
+                return S.let(_fields(line, mark), lambda header: S.let(F.transform(header, lambda x: F.coalesce(S.header_role(x), F.lit(""))), lambda roles: scored(header, roles, i)))
 
             def scored(header: Column, roles: Column, i: Column) -> Column:
                 place = [F.array_position(roles, r) - 1 for r in S.ROLES]
                 n = sum((F.when(p >= 0, 1).otherwise(0) for p in place[1:]), F.when(place[0] >= 0, 1).otherwise(0))
                 whole = (place[0] >= 0) & (place[1] >= 0) & (place[2] >= 0)
                 twice = F.array_compact(F.array(*[F.when(F.size(F.array_remove(roles, r)) < F.size(roles) - 1, F.lit(r)) for r in S.ROLES]))
-                return F.struct((n + F.when(whole, 6).otherwise(0)).alias("score"), F.lit(-rank).alias("rank"), (-i).alias("line"), F.lit(mark).alias("delimiter"), (i + 1).alias("row"), header.alias("header"), *[F.when(p >= 0, p).cast("int").alias(r) for p, r in zip(place, S.ROLES)], twice.alias("twice"))
+                return F.struct((n + F.when(whole, 6).otherwise(0)).alias("score"), (-rank).alias("rank"), (-i).alias("line"), mark.alias("delimiter"), (i + 1).alias("row"), header.alias("header"), *[F.when(p >= 0, p).cast("int").alias(r) for p, r in zip(place, S.ROLES)], twice.alias("twice"))
 
             return F.transform(F.slice("lines", 1, LOOK), one)
 
-        found = F.flatten(F.array(*[look(m, k) for k, m in enumerate(marks)]))
+        found = F.flatten(F.transform(F.array(*[F.struct(F.lit(m).alias("mark"), F.lit(k).alias("rank")) for k, m in enumerate(marks)]), look))
         if layout.header_row:
             found = F.filter(found, lambda c: c["row"] == layout.header_row)
         best = F.array_max(found)
