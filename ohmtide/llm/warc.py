@@ -13,6 +13,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -20,7 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ohmtide.llm.common import join_small, scratch_path, shuffle_parts, written
+from ohmtide.llm import common
+from ohmtide.llm.common import join_dealt, scratch_path, shuffle_parts, written
 
 DICTIONARY_MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -37,23 +39,27 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def urn(page_id: int | None) -> str:
-    return f"<urn:x-page:{'none' if page_id is None else page_id}>"
+def urn(page_id: int | None, digest: str, shared: bool) -> str:
+    """A record's id: of a response that others refer to, by its page and payload, so that they know it; else new."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'x-page:{page_id}:{digest}') if shared else uuid.uuid4()}>"
 
 
-def _page(value: str) -> int | None:
-    number = value.removeprefix("<urn:x-page:").removesuffix(">")
-    return None if number == "none" else int(number)
+def _page(value: str | None) -> int | None:
+    return int(value) if value else None
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str = "1970-01-01T00:00:00Z", shared: bool = False) -> bytes:
+    """One record. Pages are named in fields of our own; `refers_to` is the page of the response that a revisit stands for, and
+    `shared` says that others refer to this response."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if revisit else http + payload
+    block, digest = http if revisit else http + payload, sha1_base32(payload)
     # A line break would end the header's line.
     target = "".join(c for c in url or "" if c not in "\r\n")
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {urn(page_id)}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {urn(page_id, digest, shared and not revisit)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}"]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {page_id}")
     if revisit:
-        head += [f"WARC-Refers-To: {urn(refers_to)}", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: {urn(refers_to, digest, True)}", f"X-Refers-To-Page-ID: {'' if refers_to is None else refers_to}", f"WARC-Profile: {PROFILE}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -74,19 +80,16 @@ def parse(raw: bytes) -> dict:
     if kind == "response" and (len(payload) != size or sha1_base32(payload) != digest):
         raise ValueError(f"{fields['WARC-Record-ID']}: the payload is damaged")
     return {
-        "page_id": _page(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "record_type": kind, "refers_to": _page(fields["WARC-Refers-To"]) if kind == "revisit" else None,
+        "page_id": _page(fields.get("X-Page-ID")), "url": fields["WARC-Target-URI"], "record_type": kind, "refers_to": _page(fields.get("X-Refers-To-Page-ID")) if kind == "revisit" else None,
         "payload_digest": digest, "payload_bytes": size, "payload": payload if kind == "response" else None,
     }
 
 
 def build_dictionary(records: list[bytes], size: int, most: int) -> bytes:
-    """A dictionary from the first `most` bytes of an archive's records; raw content where there is too little to train on."""
-    samples, total = [], 0
-    for r in records:
-        if total >= most:
-            break
-        samples.append(r[: most - total])
-        total += len(samples[-1])
+    """A dictionary from records spread evenly over an archive, `most` bytes of them; raw content where there is too little to train
+    on."""
+    step = max(1, -(-sum(map(len, records)) // most))
+    samples = [r[:most] for r in records[::step]]
     try:
         return zstandard.train_dictionary(size, samples, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
@@ -135,18 +138,21 @@ def write_archives(pages: DataFrame, folder: str, revisit_from: int = 0, archive
     """Writes `pages` (page_id, url, html) as archives in `folder`, a URI that all executors reach; their manifest.
 
     Null html is an empty payload, a null url an empty one. A null page_id sorts after all others and may repeat. Rows that repeat
-    the smallest page_id of their payload are all responses. An empty table gives no archive. A task gathers records up to
-    `archive_bytes` (a longer record has an archive of its own), trains the dictionary on their first `sample_bytes`, and writes
+    the smallest page_id of their payload are all responses. Records are dated by the time of the call. An empty table gives no archive. A task gathers records up to
+    `archive_bytes` (a longer record has an archive of its own), trains the dictionary on `sample_bytes` spread over them, and writes
     them under a name of its own attempt; the manifest names only the archives of attempts that ended, so nothing is read twice
     after an executor is lost.
     """
     spark = pages.sparkSession
     html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), html.alias("payload"), F.octet_length(html).alias("size"), F.sha2(html, 256).alias("key"))
-    shared = rows.where(F.col("size") >= revisit_from).groupBy("key").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first_id")
+    shared = rows.where(F.col("size") >= revisit_from).groupBy("key").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(shared, "warc-shared")
-    # Most payloads are alone; those that are not are few enough to send, or else are joined by a shuffle that splits hot keys.
-    rows = join_small(rows, shared, shared.count(), ["key"], "left").withColumn("revisit", F.expr(f"size >= {revisit_from} AND first_id IS NOT NULL AND NOT page_id <=> first_id"))
+    # Most payloads are alone; those that are not are few enough to send, or else are joined by a shuffle, but for hot ones.
+    few, n_shared, firsts = common.BROADCAST_ROWS, shared.count(), shared.select("key", "first_id")
+    rows = rows.join(F.broadcast(firsts), ["key"], "left") if n_shared <= few else join_dealt(rows, firsts, shared.select("key", F.col("n").alias("ohmtide_n")), ["key"], "left")
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    rows = rows.withColumn("revisit", F.expr(f"size >= {revisit_from} AND first_id IS NOT NULL AND NOT page_id <=> first_id"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records: list[bytes] = []
@@ -161,7 +167,7 @@ def write_archives(pages: DataFrame, folder: str, revisit_from: int = 0, archive
         for batch in batches:
             for i in range(batch.num_rows):
                 page_id, url, payload, first, revisit = (batch.column(k)[i].as_py() for k in range(5))
-                r = record(page_id, url, payload, first, revisit)
+                r = record(page_id, url, payload, first, revisit, date, first is not None)
                 if records and size + len(r) > archive_bytes:
                     flush()
                     size = 0
@@ -176,7 +182,8 @@ def write_archives(pages: DataFrame, folder: str, revisit_from: int = 0, archive
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """All records of the archives that a manifest names, checked; `payloads`: with their bytes, else null."""
+    """All records of the archives that a manifest names, checked; `payloads`: with their bytes, else null. An empty manifest gives no
+    rows; a record without a page has a null page_id; a damaged or cut archive is an error."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("archive", pa.string()), ("record_offset", pa.int64())])
