@@ -37,11 +37,20 @@ class SumIndex:
         for a in np.flatnonzero(have):
             b = np.flatnonzero(have[a : self.size + 1 - a]) + a
             self.pairs[a + b] += 1
+        self._triples: np.ndarray | None = None
+
+    @property
+    def triples(self) -> np.ndarray:
+        """In how many ways a length and a pair make each sum; built anew after a length has run out."""
+        if self._triples is None:
+            self._triples = np.convolve((self.left > 0).astype(np.int64), (self.pairs > 0).astype(np.int64))[: self.size + 1]
+        return self._triples
 
     def take(self, lengths: list[int], times: int) -> None:
         for length, n in Counter(lengths).items():
             self.left[length] -= n * times
             if self.left[length] == 0:
+                self._triples = None
                 b = np.flatnonzero(self.left[: self.size + 1 - length] > 0)
                 self.pairs[length + b] -= 1
                 if 2 * length <= self.size:
@@ -58,6 +67,8 @@ class SumIndex:
         pair = self._pair(gap, used)
         if pair:
             return pair
+        if not self.triples[gap]:
+            return None
         # The largest first: short lengths fill more gaps later.
         for a in np.flatnonzero((self.left[1:gap] > 0) & (self.pairs[gap - 1 : 0 : -1] > 0))[::-1] + 1:
             if self._allowed(used, (int(a),)) and (pair := self._pair(gap - int(a), used + Counter((int(a),)))):
