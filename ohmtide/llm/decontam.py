@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ohmtide.llm.common import BROADCAST_ROWS, join_small, written
+from ohmtide.llm.common import BROADCAST_ROWS, join_small, quoted, written
 from ohmtide.llm.native import let, lower, positions
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -107,7 +107,8 @@ def find(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFram
 
 
 def remove(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of `documents`, with all their columns, in which no window of the benchmark occurs."""
+    """The rows of `documents`, with all their columns (of any names), in which no window of the benchmark occurs. Null and empty texts
+    stay; repeated rows stay or go alike; with an empty benchmark all stay; long texts are searched whole."""
     hits = written(find(documents, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("ohmtide_id"), F.col("text_hash").alias("ohmtide_th")).distinct(), "hits")
     keyed = documents.withColumn("ohmtide_text_hash", F.xxhash64("text"))
-    return join_small(keyed, hits, hits.count(), F.expr("doc_id <=> ohmtide_id AND ohmtide_text_hash = ohmtide_th"), "left_anti").select(*documents.columns)
+    return join_small(keyed, hits, hits.count(), F.expr("doc_id <=> ohmtide_id AND ohmtide_text_hash = ohmtide_th"), "left_anti").select(*[quoted(c) for c in documents.columns])

@@ -13,10 +13,12 @@ documents, goes to at most one of them; the others draw again, until all have th
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ohmtide.llm.common import drop_written, join_small, written
+from ohmtide.llm.common import drop_written, join_small, quoted, written
 from ohmtide.llm.native import let, positions
 
 FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Madame", "Mademoiselle", "Sra", "Señora", "Doña", "Signora", "г-жа", "госпожа", "Госпожа", "MRS", "MISS", "FRAU", "MME"]
@@ -42,7 +44,7 @@ PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}+.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4})(?![\p{N}])",
+    "phone": r"(?<![\p{L}\p{N}+.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?(?:\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\d(?:[ .-]?\d{2,4}){2,4})|(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4})(?![\p{N}])",
     "ssn": r"(?<![\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])",
     "ip": rf"(?<![\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{N}}]|\.\p{{N}})",
     "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
@@ -65,9 +67,17 @@ ONSETS = ["b", "br", "d", "dr", "f", "g", "gr", "h", "k", "kl", "l", "m", "n", "
 VOWELS = ["a", "e", "i", "o", "u"]
 CYRILLIC_ONSETS = ["б", "бр", "в", "г", "гр", "д", "ж", "з", "к", "кр", "л", "м", "н", "п", "р", "с", "ст", "т", "тр", "ш"]
 CYRILLIC_VOWELS = ["а", "е", "и", "о", "у"]
+GREEK_ONSETS, GREEK_VOWELS = ["β", "γ", "δ", "ζ", "θ", "κ", "λ", "μ", "ν", "π", "ρ", "σ", "στ", "τ", "τρ", "φ", "χ"], ["α", "ε", "η", "ι", "ο"]
+ARMENIAN_ONSETS, ARMENIAN_VOWELS = ["բ", "գ", "դ", "զ", "լ", "կ", "մ", "ն", "պ", "ս", "տ", "ր"], ["ա", "ե", "ի", "ո"]
+#: Names of other scripts with capitals get Latin ones.
+SCRIPTS = {"latin": ("Latin", ONSETS, VOWELS), "cyrillic": ("Cyrillic", CYRILLIC_ONSETS, CYRILLIC_VOWELS), "greek": ("Greek", GREEK_ONSETS, GREEK_VOWELS), "armenian": ("Armenian", ARMENIAN_ONSETS, ARMENIAN_VOWELS)}
+#: Country codes of one digit, and of two; all others have three.
+ONE_DIGIT, TWO_DIGITS = ("1", "7"), tuple("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 ENDINGS = {
     ("latin", "given_n"): ["ly", "kim", "ren", "sha", "vin"], ("cyrillic", "given_n"): ["ша", "ня", "ля", "ка", "ги"],
     ("latin", "given_f"): ["na", "lia", "ra", "ine", "elle"], ("latin", "given_m"): ["n", "rt", "no", "lf", "ck"], ("latin", "surname"): ["ner", "sen", "lt", "rez", "ton"],
+    ("greek", "given_n"): ["λη", "νι"], ("greek", "given_f"): ["να", "λια", "ρω"], ("greek", "given_m"): ["νος", "ρης", "λας"], ("greek", "surname"): ["ίδης", "άκης", "ρός", "λης"],
+    ("armenian", "given_n"): ["ն", "կ"], ("armenian", "given_f"): ["նե", "ինե"], ("armenian", "given_m"): ["մեն", "կ"], ("armenian", "surname"): ["յան", "նց"],
     ("cyrillic", "given_f"): ["на", "лия", "ра", "ся", "та"], ("cyrillic", "given_m"): ["н", "р", "слав", "мир", "т"], ("cyrillic", "surname"): ["нов", "рин", "лев", "ков", "тин"],
 }
 
@@ -174,10 +184,18 @@ def _unmasked(masked: Column, surrogates: Column) -> Column:
     return let(parts, put)
 
 
+def _keyed(key: str, message: Column) -> Column:
+    """HMAC-SHA-256 of a string, in hexadecimal."""
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner = F.sha2(F.concat(F.lit(bytes(x ^ 0x36 for x in raw)), message.cast("binary")), 256)
+    return F.sha2(F.concat(F.lit(bytes(x ^ 0x5C for x in raw)), F.unhex(inner)), 256)
+
+
 def _stream(key: str, attempt: int) -> Column:
     """128 keyed bytes of an entity, in hexadecimal."""
-    seed = F.concat_ws("\x1f", F.lit(key), F.lit(str(attempt)), F.col("kind"), F.col("canonical"))
-    return F.concat(*[F.sha2(F.concat(F.lit(f"{i}\x1f"), seed), 256) for i in range(4)])
+    seed = F.concat_ws("\x1f", F.lit(str(attempt)), F.col("kind"), F.col("canonical"))
+    return F.concat(*[_keyed(key, F.concat(F.lit(f"{i}\x1f"), seed)) for i in range(4)])
 
 
 def _byte(stream: Column, i: Column | int) -> Column:
@@ -227,16 +245,18 @@ def iban_digits(country: Column, account: Column) -> Column:
 
 
 def _name(stream: Column, attempt: int) -> Column:
-    latin = F.col("canonical").rlike("^[a-zß-ɏ]")
+    others = F.lit(False)
+    for name in ("cyrillic", "greek", "armenian"):
+        others = others | F.col("canonical").rlike(rf"^\p{{Is{SCRIPTS[name][0]}}}")
     out = None
     for (script, kind), ends in ENDINGS.items():
-        onsets, vowels = (ONSETS, VOWELS) if script == "latin" else (CYRILLIC_ONSETS, CYRILLIC_VOWELS)
+        of_script, onsets, vowels = SCRIPTS[script]
         # Later draws are longer, so that there are always enough.
         parts = [x for i in range(2 + attempt // 2) for x in (_pick(onsets, _byte(stream, 2 * i)), _pick(vowels, _byte(stream, 2 * i + 1)))]
         own = F.concat(*parts, _pick(ends, _byte(stream, 100)))
         if (script, kind) == ("cyrillic", "surname"):
             own = F.concat(own, F.when(F.col("canonical").endswith("а"), F.lit("а")).otherwise(F.lit("")))
-        is_own = (latin if script == "latin" else ~latin) & (F.col("kind") == kind)
+        is_own = (~others if script == "latin" else F.col("canonical").rlike(rf"^\p{{Is{of_script}}}")) & (F.col("kind") == kind)
         out = F.when(is_own, own) if out is None else out.when(is_own, own)
     return out
 
@@ -258,21 +278,26 @@ def draw(key: str, attempt: int) -> Column:
         tld = F.substring_index(host, ".", -1)
         name = F.substring(host, F.lit(1), F.length(host) - F.length(tld))
         # The host has a stream of its own: addresses of one host stay so.
-        host_stream = F.concat(*[F.sha2(F.concat_ws("\x1f", F.lit(str(i)), F.lit(key), F.lit("host"), host), 256) for i in range(4)])
+        host_stream = F.concat(*[_keyed(key, F.concat_ws("\x1f", F.lit(str(i)), F.lit("host"), host)) for i in range(4)])
         email = F.concat(_letters(F.substring(c, F.lit(1), at - 1), s), more("abcdefghijklmnopqrstuvwxyz"), F.lit("@"), _letters(name, host_stream), tld)
         drawn = _letters(c, s)
         rest = lambda i: F.substring(drawn, i, n)
         exchange = F.when((F.length(c) == 11) & (F.substring(c, 5, 3) == "555"), F.concat(F.lit("555"), rest(8))).otherwise(rest(5)) if attempt < 3 else rest(5)
-        phone = F.concat(F.substring(c, 1, 1), (2 + _byte(s, 1) % 8).cast("string"), F.substring(drawn, 3, 2), exchange, more("0123456789"))
+        # The country code stays, by the fixed numbering plan.
+        code = F.when(F.substring(c, 1, 1).isin(*ONE_DIGIT), 1).when(F.substring(c, 1, 2).isin(*TWO_DIGITS), 2).otherwise(3)
+        local = F.when(code == 1, F.concat(F.substring(drawn, 3, 2), exchange)).otherwise(F.substring(drawn, code + 2, n))
+        phone = F.concat(F.substring(c, F.lit(1), code), (2 + _byte(s, 1) % 8).cast("string"), local, more("0123456789"))
         payload = F.concat(F.substring(c, 1, 1), F.substring(drawn, F.lit(2), n - 2))
         valid = luhn_digit(F.substring(c, F.lit(1), n - 1)).cast("string") == F.substring(c, -1, 1)
         card = F.concat(payload, F.when(valid, luhn_digit(payload)).otherwise((luhn_digit(payload) + 1 + _byte(s, 120) % 9) % 10).cast("string"))
         ssn = F.concat((1 + _byte(s, 0) % 5).cast("string"), rest(2))
         octets = [_byte(s, i) for i in range(4)]
-        near, far = c.startswith("192.168."), c.startswith("10.")
-        # Private addresses go to a larger private range, then to any, where their own has too few.
-        first = F.when(far, F.lit("10.")).when(near, F.lit("192.168.")) if attempt < FIRM else F.when(near | far, F.lit("10.")) if attempt < 2 * FIRM else F.lit(None).cast("string")
-        ip = F.concat(F.coalesce(first, F.concat((11 + octets[0] % 89).cast("string"), F.lit("."))), F.when(first == "192.168.", F.lit("")).otherwise(F.concat(octets[1].cast("string"), F.lit("."))), octets[2].cast("string"), F.lit("."), octets[3].cast("string"))
+        # An address stays in its range (private, loopback, link-local) while that has room, then goes to the largest private one.
+        private = F.when(c.startswith("192.168."), "192.168.").when(c.startswith("169.254."), "169.254.").when(c.rlike(r"^172\.(?:1[6-9]|2\d|3[01])\."), F.concat(F.lit("172."), (16 + octets[1] % 16).cast("string"), F.lit(".")))
+        wide = F.when(c.startswith("10."), "10.").when(c.startswith("127."), "127.")
+        private, wide = (private, wide) if attempt < FIRM else (F.lit(None).cast("string"), F.coalesce(wide, F.when(private.isNotNull(), "10."))) if attempt < 3 * FIRM else (F.lit(None).cast("string"), F.lit(None).cast("string"))
+        start = F.coalesce(private, F.concat(F.coalesce(wide, F.concat((11 + octets[0] % 89).cast("string"), F.lit("."))), octets[1].cast("string"), F.lit(".")))
+        ip = F.concat(start, octets[2].cast("string"), F.lit("."), octets[3].cast("string"))
         hexed = F.array_join(F.transform(F.split(c, ""), lambda x, i: F.when(x.between("0", "9") | x.between("a", "f"), F.substring(F.lit("0123456789abcdef"), _byte(s, i) % 16 + 1, F.lit(1))).when(x.between("A", "F"), F.substring(F.lit("0123456789ABCDEF"), _byte(s, i) % 16 + 1, F.lit(1))).otherwise(x)), "")
         is_hex = c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
         lead = F.regexp_extract(c, "^(?:AKIA|gh[pousr]_|sk-)", 0)
@@ -356,4 +381,4 @@ def replace(documents: DataFrame, key: str) -> DataFrame:
     joined = join_small(keyed, lists, n, F.expr("doc_id <=> ohmtide_id AND ohmtide_text_hash = ohmtide_th"), "left")
     text = F.when(F.col("ohmtide_e").isNotNull(), _unmasked(_masked(F.col("text")), F.col("ohmtide_e"))).otherwise(F.col("text"))
     listed = F.transform(F.coalesce("ohmtide_e", F.array().cast("array<struct<k:int,kind:string,surrogate:string,raw:string>>")), lambda e: F.struct(e["kind"].alias("kind"), e["surrogate"].alias("surrogate")))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in documents.columns if c != "entities"], listed.alias("entities"))
+    return joined.select(*[text.alias("text") if c == "text" else quoted(c) for c in documents.columns if c != "entities"], listed.alias("entities"))

@@ -99,3 +99,32 @@ def test_names_of_other_forms_and_further_mentions(spark):
     assert not re.search("Ana|Bea|Cleo|Diaz|Evora|Frey", got[3])
     assert re.fullmatch(r"Herr Dr\. \w+ von \w+", got[4]) and "Ulf" not in got[4] and "Bergen" not in got[4]
     assert got[5] == rows[5]
+
+
+def test_streams_are_hmac(spark):
+    import hashlib
+    import hmac
+
+    rows = spark.createDataFrame([("email", "a@b.cc"), ("surname", "weiß")], "kind string, canonical string")
+    for key in ("k", "a key of more than sixty-four bytes, which is hashed before it is used as one"):
+        for r in rows.select("kind", "canonical", surrogates._stream(key, 3).alias("s")).collect():
+            assert r.s == "".join(hmac.new(key.encode(), f"{i}\x1f3\x1f{r.kind}\x1f{r.canonical}".encode(), hashlib.sha256).hexdigest() for i in range(4))
+
+
+def test_scripts_countries_and_ranges_stay(spark):
+    texts = ["Mr Παπαδόπουλος", "+44 20 7946 0958", "127.0.0.1", "172.20.3.4", "169.254.7.7", "8.8.8.8", "+353 1 496 0000", "Mrs Անահիտ Սարգսյան", "Herr Müller", "192.168.0.9"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("a.b", surrogates.F.lit(1))
+    rows = surrogates.replace(frame, "k").orderBy("doc_id").collect()
+    got = [r.text for r in rows]
+    assert not set(got) & set(texts) and rows[0]["a.b"] == 1
+    forms = [r"Mr [Α-Ωα-ωά-ώ]+", r"\+44 \d\d \d{4} \d{4}", r"127(\.\d+){3}", r"172\.(1[6-9]|2\d|3[01])\.\d+\.\d+", r"169\.254\.\d+\.\d+", r"[1-9]\d(\.\d+){3}", r"\+353 \d \d{3} \d{4}", r"Mrs [Ա-և]+ [Ա-և]+", r"Herr [A-Z][a-z]+", r"192\.168\.\d+\.\d+"]
+    for form, text in zip(forms, got):
+        assert re.fullmatch(form, text), text
+
+
+def test_dense_addresses_of_one_host(spark):
+    """All of one and of two digits or letters before the @ of one host: more than their spaces have left."""
+    names = [f"{i:02d}" for i in range(100)] + [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"] + list("0123456789")
+    mails = spark.createDataFrame([("email", f"{n}@qq.com") for n in names], "kind string, canonical string")
+    got = surrogates.assign(mails, "k").toPandas()
+    assert len(got) == len(names) and got.surrogate.is_unique and not set(got.surrogate) & set(got.canonical)
