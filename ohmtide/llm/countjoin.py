@@ -36,7 +36,7 @@ WORDS, PERCENT, GROUPS, GROUP_MEAN, SHARED = 5, 75, 64, 4, 16
 #: Points in a leaf, and nodes below a node.
 FAN = 16
 #: Sets of a block, and shingles of a group, that one tile holds about half of.
-BLOCK_SETS, GROUP_SHINGLES = 4096, 4_000_000
+BLOCK_SETS, GROUP_SHINGLES = 1024, 250_000
 #: Shingles counted as frequent: those found in HEAVY_IN or more texts of a lot; of these the most frequent. This only orders them.
 HEAVY, HEAVY_IN, LOT = 100_000, 8, 2_000_000
 #: Sets that a large block or group is held against first.
