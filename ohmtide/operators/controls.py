@@ -6,6 +6,8 @@ control group holds the repeats of one measurement, so its pairs are few. A pair
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,15 +18,10 @@ SUPPORTED = ("repeat-supported", "linearity-supported", "rest-stable")
 WARN_PERCENT = 2.0
 TOLERANCE = 1e-5
 TINY = 2.2250738585072014e-308
+POINT = "struct<frequency_hz:double,zreal:double,neg_zimag:double>"
 
 
-def align(first: Column, second: Column, tolerance: float = TOLERANCE) -> Column:
-    """array<struct<a, b>> of points of two spectra at the same frequency.
-
-    Each point of the first takes the nearest of the second in |log10 f| (the earliest of equals) if within the tolerance and not
-    taken yet. Both are in order of acquisition.
-    """
-
+def _greedy(first: Column, second: Column, tolerance: float) -> Column:
     def take(state: Column, a: Column) -> Column:
         distance = F.transform(second, lambda b, j: F.struct(F.abs(F.log10(b["frequency_hz"] / a["frequency_hz"])).alias("d"), j.alias("j")))
         near = F.array_min(distance)
@@ -32,12 +29,42 @@ def align(first: Column, second: Column, tolerance: float = TOLERANCE) -> Column
         pair = F.struct(a.alias("a"), F.element_at(second, near["j"] + 1).alias("b"))
         return F.when(fits, F.struct(F.array_append(state["used"], near["j"]).alias("used"), F.array_append(state["pairs"], pair).alias("pairs"))).otherwise(state)
 
-    point = "struct<frequency_hz:double,zreal:double,neg_zimag:double>"
-    empty = F.from_json(F.lit('{"used":[],"pairs":[]}'), f"struct<used:array<int>,pairs:array<struct<a:{point},b:{point}>>>")
-    empty = F.struct(F.coalesce(empty["used"], F.array().cast("array<int>")).alias("used"), F.coalesce(empty["pairs"], F.array().cast(f"array<struct<a:{point},b:{point}>>")).alias("pairs"))
+    empty = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast(f"array<struct<a:{POINT},b:{POINT}>>").alias("pairs"))
     return F.aggregate(first, empty, take)["pairs"]
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _spread(points: Column, tolerance: float) -> Column:
+    """Whether no two points are within twice the tolerance, and a bit, of each other."""
+    gaps = lambda x: F.zip_with(F.slice(x, 2, F.size(x) - 1), F.slice(x, 1, F.size(x) - 1), lambda b, a: b - a)
+    sorted_ = F.sort_array(F.transform(points, lambda p: F.log10(p["frequency_hz"])))
+    return _let(sorted_, lambda x: F.when(F.size(x) < 2, F.lit(True)).otherwise(F.array_min(gaps(x)) > 2.001 * tolerance))
+
+
+def align(first: Column, second: Column, tolerance: float = TOLERANCE) -> Column:
+    """array<struct<a, b>> of points of two spectra at the same frequency. Frequencies are positive.
+
+    Each point of the first takes the nearest of the second in |log10 f| (the earliest of equals) if within the tolerance and not
+    taken yet. Both are in order of acquisition.
+
+    Where no two points of a spectrum are within twice the tolerance, as in almost all, a point has at most one partner, which stands
+    next to it when the points of both are sorted by frequency; others are compared point by point.
+    """
+
+    def merged() -> Column:
+        tagged = lambda points, side: F.transform(points, lambda p, i: F.struct(F.log10(p["frequency_hz"]).alias("x"), F.lit(side).alias("side"), i.alias("i")))
+        both = F.sort_array(F.concat(tagged(first, 0), tagged(second, 1)))
+        near = lambda u, v: (u["side"] != v["side"]) & (F.abs(v["x"] - u["x"]) <= tolerance)
+        found = lambda z: F.filter(F.zip_with(F.slice(z, 1, F.greatest(F.size(z) - 1, F.lit(0))), F.slice(z, 2, F.greatest(F.size(z) - 1, F.lit(0))), lambda u, v: F.when(near(u, v), F.struct(F.when(u["side"] == 0, u["i"]).otherwise(v["i"]).alias("i"), F.when(u["side"] == 0, v["i"]).otherwise(u["i"]).alias("j")))), lambda m: m.isNotNull())
+        return F.transform(F.sort_array(_let(both, found)), lambda m: F.struct(F.get(first, m["i"]).alias("a"), F.get(second, m["j"]).alias("b")))
+
+    return F.when(_spread(first, tolerance) & _spread(second, tolerance), merged()).otherwise(_greedy(first, second, tolerance))
+
+
 def compare(pairs: DataFrame) -> DataFrame:
     """Pairs (uid_1, uid_2, basis_1, basis_2, points_1, points_2 and any others) with status, common_points, rms_percent,
     median_percent, max_percent. Bases must be equal, and at least five points and 80 % of the longer spectrum in common."""
@@ -45,11 +72,11 @@ def compare(pairs: DataFrame) -> DataFrame:
     enough = (F.size("_m") >= 5) & (F.size("_m") >= 0.8 * F.greatest(F.size("points_1"), F.size("points_2")))
     p = p.withColumn("_ok", (F.col("basis_1") == F.col("basis_2")) & enough)
     mean = lambda x: (F.hypot(x["a"]["zreal"], x["a"]["neg_zimag"]) + F.hypot(x["b"]["zreal"], x["b"]["neg_zimag"])) / 2
-    p = p.withColumn("_h", F.array_sort(F.transform("_m", mean)))
+    p = p.withColumn("_h", F.sort_array(F.transform("_m", mean)))
     mid = lambda c: (F.get(c, F.floor((F.size(c) - 1) / 2).cast("int")) + F.get(c, F.floor(F.size(c) / 2).cast("int"))) / 2
     p = p.withColumn("_floor", F.greatest(mid(F.col("_h")) * 1e-12, F.lit(TINY)))
     gap = lambda x: F.hypot(x["b"]["zreal"] - x["a"]["zreal"], x["b"]["neg_zimag"] - x["a"]["neg_zimag"])
-    p = p.withColumn("_r", F.array_sort(F.transform("_m", lambda x: 100 * gap(x) / F.greatest(mean(x), F.col("_floor")))))
+    p = p.withColumn("_r", F.sort_array(F.transform("_m", lambda x: 100 * gap(x) / F.greatest(mean(x), F.col("_floor")))))
     square = F.aggregate("_r", F.lit(0.0), lambda a, x: a + x * x)
     only = lambda c: F.when(F.col("_ok"), c)
     return p.select(

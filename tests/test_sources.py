@@ -111,3 +111,24 @@ def test_stream_takes_each_file_once(spark, tmp_path):
         (tmp_path / "in" / f"{k}.csv").write_text(table)
         watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
         assert spark.read.parquet(str(tmp_path / "out" / "points")).count() == 2 * (k + 1)
+
+
+def test_alignment_is_the_same_by_order_and_point_by_point(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from ohmtide.operators import controls
+
+    rng = random.Random(1)
+
+    def grid():
+        found = [(float(10 ** (rng.choice([0, 0.5, 1, 1.5, 2, 3]) + rng.choice([0, 0, 4e-6, 9e-6, 1.2e-5, -6e-6]))), rng.random(), rng.random()) for _ in range(rng.randrange(9))]
+        return found if rng.random() < 0.4 else list({round(x[0]): x for x in found}.values())
+
+    rows = spark.createDataFrame([(grid(), grid()) for _ in range(400)], f"a array<{controls.POINT}>, b array<{controls.POINT}>")
+    a, b = F.col("a"), F.col("b")
+    both = controls._spread(a, controls.TOLERANCE) & controls._spread(b, controls.TOLERANCE)
+    found = rows.select(controls.align(a, b).alias("found"), controls._greedy(a, b, controls.TOLERANCE).alias("plain"), both.alias("ordered")).collect()
+    assert all(r.found == r.plain for r in found)
+    assert 50 < sum(r.ordered for r in found) < 350 and any(r.ordered and r.plain for r in found)
