@@ -101,6 +101,12 @@ def evaluate(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", ledger_of(F.col("text")).alias("ledger")).select("doc_id", "ledger.*")
 
 
+def store(documents: DataFrame, path: str) -> DataFrame:
+    """The ledger of `documents`, written to `path` and read back: what policies and ablations are applied to, without the texts."""
+    evaluate(documents).write.parquet(path)
+    return documents.sparkSession.read.parquet(path)
+
+
 def keep(documents: DataFrame, policy: str) -> DataFrame:
     """The rows of `documents`, with all their columns, that a policy keeps: one narrow pass, without a join.
 
@@ -137,3 +143,17 @@ def ablations(ledger: DataFrame, policy: str) -> DataFrame:
         F.bit_and(F.when(failed, F.col("failure_bits"))).alias("all_fail_bits"),
         F.bit_or(F.when(failed, F.col("failure_bits"))).alias("any_fail_bits"),
     )
+
+
+def with_ablations(ledger: DataFrame, policy: str) -> DataFrame:
+    """The ledger with what a policy does to each row and what its ablations would: kept; only_rule, the rule that alone removes the
+    row (null where none or several do); n_only, how many rows that rule alone removes; n_kept_without, how many rows would be kept
+    without it (both null where only_rule is).
+
+    The counts are those of ablations(), a row for each rule of the policy, which are broadcast. Every row of the ledger stays, also
+    repeated ones and those without a doc_id; an empty ledger gives none.
+    """
+    alone = F.col("failure_bits").bitwiseAND(F.lit(mask(policy)))
+    only = F.coalesce(*[F.when(alone == bit(r), F.lit(r)) for r in POLICIES[policy]])
+    counts = ablations(ledger, policy).select(F.col("rule").alias("only_rule"), "n_only", "n_kept_without")
+    return apply_policy(ledger, policy).withColumn("only_rule", only).join(F.broadcast(counts), "only_rule", "left")

@@ -36,9 +36,10 @@ def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ledger.evaluate(_read(spark, sf_dir, "documents"))
+    stored = ledger.store(_read(spark, sf_dir, "documents"), scratch_path(spark, "ledger"))
+    found = ledger.with_ablations(stored, "web-1")
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return found.select(*columns, (~ledger.passes("base-1")).alias("base_failed"), ledger.passes("web-1").alias("kept"), "failure_bits")
+    return found.select(*columns, (~ledger.passes("base-1")).alias("base_failed"), "kept", "failure_bits", "only_rule", "n_only", "n_kept_without")
 
 
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +94,10 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(l
   CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN c USING (r)),
 b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
-  + 8 * (100 * n_dup_lines > 50 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (n_words > 100000)::INT AS BIGINT) AS failure_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failure_bits & 3 <> 0 AS base_failed, failure_bits & 31 = 0 AS kept, failure_bits FROM b""",
+  + 8 * (100 * n_dup_lines > 50 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (n_words > 100000)::INT AS BIGINT) AS failure_bits FROM m),
+o AS (SELECT *, CASE failure_bits & 31 WHEN 1 THEN 'too_few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'duplicate_lines' WHEN 16 THEN 'short_words' END AS only_rule FROM b),
+a AS (SELECT only_rule, count(*) AS n_only, count(*) + (SELECT count(*) FROM b WHERE failure_bits & 31 = 0) AS n_kept_without FROM o WHERE only_rule IS NOT NULL GROUP BY only_rule)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failure_bits & 3 <> 0 AS base_failed, failure_bits & 31 = 0 AS kept, failure_bits, only_rule, n_only, n_kept_without FROM o LEFT JOIN a USING (only_rule)""",
     "op5_line_chunks": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 h AS (SELECT r, doc_id, l, list_transform(l, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS n, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM d),

@@ -179,6 +179,14 @@ def test_ledger_and_ablations(spark):
         b = ledger.bit(r.rule)
         bits = [x.failure_bits for x in got.values()]
         assert r.n_failed == sum(bool(x & b) for x in bits) and r.n_only == sum(x & mask == b for x in bits) and r.n_kept_without == sum(x & mask & ~b == 0 for x in bits)
+    stored = ledger.store(frame(spark, rows), scratch_path(spark, "ledger"))
+    assert {r.doc_id: r.failure_bits for r in stored.collect()} == {d: r.failure_bits for d, r in got.items()}
+    bits = [x.failure_bits & mask for x in got.values()]
+    rule = {ledger.bit(r): r for r in ledger.POLICIES["web-1"]}
+    for r in ledger.with_ablations(stored, "web-1").collect():
+        b = r.failure_bits & mask
+        counts = (rule[b], bits.count(b), bits.count(0) + bits.count(b)) if b in rule else (None, None, None)
+        assert (r.kept, r.only_rule, r.n_only, r.n_kept_without) == (b == 0, *counts)
 
 
 def test_lookup_table():
@@ -205,6 +213,19 @@ def test_lookup_table():
     assert (big[big != 49] == less[big != 49]).mean() > 0.9
 
 
+def test_keys_are_placed_by_one_look_into_the_table(spark):
+    shards = [f"s{i}" for i in range(7)]
+    table = lookup.lookup_table(shards, 101)
+    keys = [*range(300), 5, 5, None, None]
+    placed = lookup.place(spark.createDataFrame([(k,) for k in keys], "doc_id bigint"), "doc_id", shards, 101).collect()
+    want = []
+    for k in keys:
+        slot = int(hashlib.md5(("" if k is None else str(k)).encode()).hexdigest()[:15], 16) % 101
+        want.append((k, slot, int(table[slot]), shards[table[slot]]))
+    assert sorted(map(tuple, placed), key=str) == sorted(want, key=str)
+    assert lookup.place(spark.createDataFrame([], "doc_id bigint"), "doc_id", shards, 101).count() == 0
+
+
 def test_plans_use_all_pieces_and_few_sequences():
     rng = np.random.default_rng(2)
     for n in (0, 1, 40, 3000):
