@@ -13,6 +13,7 @@ from ohmtide.invert import consistency as K
 from ohmtide.invert import drt as D
 from ohmtide.operators import screens as R
 from ohmtide.operators.invert import per_spectrum
+from ohmtide.operators.scratch import written
 
 PEAK = "struct<peak_id:string,tau_s:double,frequency_hz:double,gamma:double,relative_height:double,area_impedance:double,persistence:int,confidence:string>"
 RESULT = (
@@ -58,11 +59,13 @@ def analyze(f: np.ndarray, z: np.ndarray, explainable: bool, nonseries: bool, di
 
 def run(points: DataFrame, spectra: DataFrame, uid: str = "bigint") -> dict[str, DataFrame]:
     """The tables of a batch from points (uid, i, frequency_hz, zreal, neg_zimag) and spectra (uid, points): results, peaks,
-    curves, reconstructions, drift. Screens are relational and decide which branches each spectrum needs."""
+    curves, reconstructions, drift. Screens are relational and decide which branches each spectrum needs.
+
+    Inversions are by far the dearest step: they are made here, once, and kept in a table of the scratch folder that all others read."""
     l = R.series_inductance(points).select("uid", "explainable")
     n = R.nonseries_inductance(points).select("uid", F.col("detected").alias("nonseries"))
     t = R.diffusion_tail(points).select("uid", F.col("detected").alias("diffusive"))
-    found = per_spectrum(spectra.join(l, "uid").join(n, "uid").join(t, "uid"), analyze, RESULT, "explainable", "nonseries", "diffusive", uid=uid)
+    found = written(per_spectrum(spectra.join(l, "uid").join(n, "uid").join(t, "uid"), analyze, RESULT, "explainable", "nonseries", "diffusive", uid=uid), "inversions")
     fit = found.select("uid", F.posexplode("fit").alias("k", "q")).select("uid", "k", F.col("q.frequency_hz").alias("frequency_hz"), F.col("q.zreal").alias("fit_zreal"), F.col("q.neg_zimag").alias("fit_neg_zimag"))
     pairs = points.join(fit, ["uid", "frequency_hz"])
     return {

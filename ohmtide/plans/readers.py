@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import io
 import sqlite3
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -14,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ohmtide.functions.scalars import source_uid
+from ohmtide.operators.scratch import scratch
 from ohmtide.plans import bridge as B
 from ohmtide.sources import files as S
 from ohmtide.sources import irf, text
@@ -31,12 +30,6 @@ def query(sql: str):
     return add
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, as in tests on one machine, a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='ohmtide-')}"
-    return f"{found.rstrip('/')}/ohmtide-files-{uuid.uuid4().hex}"
-
-
 def _files(spark: SparkSession, contents: DataFrame) -> DataFrame:
     """Discovered files with column k, for rows (k, value) of whole texts: one file each, in a folder named after its key."""
     folder = scratch(spark)
