@@ -6,11 +6,14 @@ control group holds the repeats of one measurement, so its pairs are few. A pair
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ohmtide.numerics.curves import repeat_peaks
+
 # --- fixed values: status words --------------------------------------------------------------------------------------------
 ADVERSE = ("repeat-disagreement", "repeat-peak-disagreement", "repeat-outlier-detected", "amplitude-dependent", "rest-dependent")
 SUPPORTED = ("repeat-supported", "linearity-supported", "rest-stable")
@@ -93,6 +96,30 @@ def pairs_within(spectra: DataFrame, group: str, *levels: str) -> DataFrame:
     return a.join(b, "grp").where("uid_1 < uid_2")
 
 
+def repeat_peak_status(spectra: DataFrame, peaks: DataFrame, group: str = "repeat_id") -> DataFrame:
+    """uid_1, uid_2, peak_status of the pairs of a group, by their major peaks in the range of common frequencies: what
+    repeat_assessment() takes as `peaks`.
+
+    `peaks` has a row a peak (uid, frequency_hz, relative_height, area_impedance, confidence). A pair without common frequencies, or
+    without major peaks, is not-assessable; a spectrum without rows has no peaks.
+    """
+    fields = ("frequency_hz", "relative_height", "area_impedance", "confidence")
+    of_uid = peaks.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("found"))
+    pairs = pairs_within(spectra, group).select("uid_1", "uid_2", F.transform(align(F.col("points_1"), F.col("points_2")), lambda m: m["a"]["frequency_hz"]).alias("common"))
+    pairs = pairs.select("uid_1", "uid_2", F.array_min("common").alias("lowest"), F.array_max("common").alias("highest"))
+    for side in ("1", "2"):
+        pairs = pairs.join(of_uid.select(F.col("uid").alias(f"uid_{side}"), F.col("found").alias(f"peaks_{side}")), f"uid_{side}", "left")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = lambda found: [] if found is None else [dict(p) for p in found]
+            status = [repeat_peaks(own(r.peaks_1), own(r.peaks_2), r.lowest, r.highest) for r in batch.itertuples(index=False)]
+            yield batch[["uid_1", "uid_2"]].assign(peak_status=status)
+
+    uid = dict(spectra.dtypes)["uid"]
+    return pairs.select("uid_1", "uid_2", "lowest", "highest", "peaks_1", "peaks_2").mapInPandas(judge, f"uid_1 {uid}, uid_2 {uid}, peak_status string")
+
+
 def repeat_assessment(spectra: DataFrame, group: str = "repeat_id", peaks: DataFrame | None = None, warn: float = WARN_PERCENT) -> tuple[DataFrame, DataFrame]:
     """(groups: grp, members, status, max_rms_percent; members: grp, uid, score, modified_z, outlier).
 

@@ -401,6 +401,33 @@ def repeat_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.repeat_assessment(_grouped(spark, sf_dir))[1].select("uid", r6("score").alias("score"), "outlier")
 
 
+_FOUND = """, fk AS (SELECT s_suppkey AS uid, s_suppkey // 4 AS cell, s_suppkey % 4 AS rep FROM supplier),
+fp AS (SELECT a.uid AS u1, b.uid AS u2, CASE a.cell % 3 WHEN 1 THEN 'not-assessable' WHEN 2 THEN CASE WHEN 3 IN (a.rep, b.rep) THEN 'changed-materially' ELSE 'accepted' END ELSE 'accepted' END AS peak_status FROM fk a JOIN fk b ON a.cell = b.cell AND a.uid < b.uid)"""
+
+
+def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of the control spectra: one at 10 Hz, that in each third cell is at 100 Hz in the fourth replicate, and one of low signal
+    that wanders; each third cell has no other."""
+    keys = B.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("uid"))
+    cell, fourth = F.floor(F.col("uid") / 4), F.col("uid") % 4 == 3
+    peak = lambda f, h, c: F.struct(f.alias("frequency_hz"), F.lit(h).alias("relative_height"), F.lit(1.0).alias("area_impedance"), F.lit(c).alias("confidence"))
+    minor = peak(F.pow(F.lit(10.0), (F.col("uid") % 4).cast("double")), 0.01, "minor-low-signal")
+    high = peak(F.when((cell % 3 == 2) & fourth, 100.0).otherwise(10.0), 1.0, "resolved")
+    return keys.select("uid", F.explode(F.when(cell % 3 == 1, F.array(minor)).otherwise(F.array(high, minor))).alias("p")).select("uid", "p.*")
+
+
+@query(f"WITH {_FOUND[2:]} SELECT u1 AS uid_1, u2 AS uid_2, peak_status FROM fp")
+def repeat_peak_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.repeat_peak_status(_grouped(spark, sf_dir), _peaks(spark, sf_dir))
+
+
+@query(f"""WITH {_REPEAT}{_FOUND}, fg AS (SELECT u1 // 4 AS cell, bool_or(peak_status = 'changed-materially') AS changed, bool_or(peak_status <> 'accepted') AS unsure FROM fp GROUP BY ALL)
+SELECT grp, members, CASE WHEN status <> 'repeat-peak-not-assessable' THEN status WHEN changed THEN 'repeat-peak-disagreement' WHEN unsure THEN status WHEN members >= 3 THEN 'repeat-supported' ELSE 'pair-only' END AS status FROM rs JOIN fg USING (cell)""")
+def repeat_with_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _grouped(spark, sf_dir)
+    return C.repeat_assessment(s, peaks=C.repeat_peak_status(s, _peaks(spark, sf_dir)))[0].select("grp", "members", "status")
+
+
 _LINEAR = """, ln AS (SELECT 'cell_id=' || cell || '|state=full' AS grp, cell, mx, members, levels FROM (SELECT cell, count(*) AS members, count(DISTINCT amplitude_mv) AS levels FROM c_k GROUP BY cell HAVING count(DISTINCT amplitude_mv) >= 2) JOIN (SELECT cell, max(rms) AS mx FROM pr GROUP BY cell) USING (cell)),
 ls AS (SELECT grp, cell, members, levels, CASE WHEN mx <= 2 THEN 'linearity-supported' ELSE 'amplitude-dependent' END AS status, mx FROM ln)"""
 
