@@ -24,7 +24,8 @@ RESULT = (
 
 
 def analyze(f: np.ndarray, z: np.ndarray, explainable: bool, nonseries: bool, diffusive: bool) -> list[dict]:
-    """One spectrum through all branches; those that need a cause (signed, diffusion) run only where the screens gave one."""
+    """One spectrum through the branches; those that need a cause (signed, diffusion) run only where the screens gave one. Left out
+    are the secondary NNLS solution, credible bands and peak evidence, which are calls of their own."""
     p, chosen = D.choose_inductance(f, z, explainable)
     s = D.select_lambda(p)
     lam = s["lambda"]
