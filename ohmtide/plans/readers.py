@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import io
+import json
 import sqlite3
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ohmtide.functions.scalars import source_uid
@@ -100,7 +101,8 @@ def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _containers(keys: DataFrame) -> DataFrame:
     """(path, source_uid, content) of ZIP files with one database each, for rows (k): eleven rows stored from low frequency on, of
-    which one is not valid and one has no frequency, and k % 3 safety events."""
+    which one is not valid and one has no frequency, and k % 3 safety events. A second database has two sweeps, and documents program it:
+    as measured, 5 % off at one point, or one point short, by k % 3; the first document is no JSON."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -112,10 +114,19 @@ def _containers(keys: DataFrame) -> DataFrame:
                 con.execute('CREATE TABLE "SafetyStateEntries" (State TEXT)')
                 con.executemany('INSERT INTO "SafetyStateEntries" VALUES (?)', [("limit",)] * (k % 3))
                 con.commit()
+                two = sqlite3.connect(":memory:")
+                two.execute('CREATE TABLE "Twice" (VerifiedAppliedFrequency REAL, ImpedanceReal REAL, ImpedanceImaginary REAL)')
+                two.executemany('INSERT INTO "Twice" VALUES (?, ?, ?)', [(2.0 ** (6 - i % 6), k, -1) for i in range(12)])
+                two.commit()
+                program = [[2.0 ** (6 - i % 6) * (1.05 if k % 3 == 1 and i == 4 else 1.0), "x"] for i in range(12 - (k % 3 == 2))]
                 raw = io.BytesIO()
                 with zipfile.ZipFile(raw, "w") as archive:
                     archive.writestr("run.db", con.serialize())
+                    archive.writestr("two.db", two.serialize())
+                    archive.writestr("a.json", "{")
+                    archive.writestr("b.json", json.dumps({"Steps": [{"State": f"s{k}", "HeaderParameters": [{"Label": "Amplitude", "Value": k}]}, {"FrequencyDistribution": program}]}))
                 con.close()
+                two.close()
                 out.append((f"/made/{k}.irf", raw.getvalue()))
             yield pd.DataFrame(out, columns=["path", "content"])
 
@@ -128,5 +139,41 @@ FROM (SELECT s_suppkey AS k, unnest(range(11)) AS i FROM supplier)""")
 def read_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of instrument containers in the order of their index, kept or with the reason why not."""
     keys = B.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
-    found = irf.read(_containers(keys))
+    found = irf.read(_containers(keys)).where("spectrum_id = 'run.db:Sweep'")
     return found.select(F.regexp_extract("path", r"(\d+)\.irf$", 1).cast("bigint").alias("k"), "i", "frequency_hz", "zreal", (F.col("neg_zimag") + 0.0).alias("neg_zimag"), "reason", "events")
+
+
+def _key() -> Column:
+    return F.regexp_extract("path", r"(\d+)\.irf$", 1).cast("bigint").alias("k")
+
+
+@query("""SELECT k, 'run.db:Sweep:run1' AS spectrum_id, (row_number() OVER (PARTITION BY k ORDER BY i DESC) - 1)::INT AS point, pow(2e0, i) AS frequency_hz FROM (SELECT s_suppkey AS k, unnest(range(11)) AS i FROM supplier) WHERE i NOT IN (4, 8)
+UNION ALL SELECT k, 'two.db:Twice:run' || (1 + i // 6), (i % 6)::INT, pow(2e0, 6 - i % 6) FROM (SELECT s_suppkey AS k, unnest(range(12)) AS i FROM supplier)""")
+def container_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of containers, cut into sweeps."""
+    found = irf.spectra(irf.read(_containers(B.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")))))
+    return found.select(_key(), "spectrum_id", F.col("point").cast("int").alias("point"), "frequency_hz")
+
+
+@query("""SELECT s_suppkey AS k, 'run.db' AS member, unnest(range(s_suppkey % 3))::INT AS i, 'limit' AS state FROM supplier""")
+def container_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Safety events of containers, a row each."""
+    found = irf.events(_containers(B.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))))
+    return found.select(_key(), "member", "i", F.get_json_object("event", "$.State").alias("state"))
+
+
+@query("""SELECT s_suppkey AS k, 'a.json' AS member, NULL AS state, NULL AS label, NULL::INT AS n_programmed, 'no-json' AS error FROM supplier
+UNION ALL SELECT s_suppkey, 'b.json', 's' || s_suppkey, 'Amplitude', 12 - CASE WHEN s_suppkey % 3 = 2 THEN 1 ELSE 0 END, NULL FROM supplier""")
+def container_procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What documents of containers say of the procedure."""
+    found = irf.procedures(_containers(B.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))))
+    return found.select(_key(), "member", "state", F.get_json_object("header_parameters", "$[0].Label").alias("label"), F.size("programmed").alias("n_programmed"), "error")
+
+
+@query("""SELECT k, spectrum_id, programmed_points::INT AS programmed_points, measured_points::INT AS measured_points, CASE WHEN programmed_points = measured_points THEN CASE k % 3 WHEN 1 THEN round(0.05 / 1.05, 6) ELSE 0e0 END END AS off, programmed_points = measured_points AND k % 3 = 0 AS kept_to
+FROM (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 2 THEN 11 ELSE 12 END AS programmed_points FROM supplier), (VALUES ('run.db:Sweep', 9), ('two.db:Twice', 12)) v(spectrum_id, measured_points)""")
+def container_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programmed frequencies of containers against the measured ones."""
+    files = _containers(B.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")))
+    found = irf.schedules(irf.read(files), irf.procedures(files))
+    return found.select(_key(), "spectrum_id", "programmed_points", "measured_points", F.round("max_relative_difference", 6).alias("off"), "kept_to")
