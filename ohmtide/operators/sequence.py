@@ -34,6 +34,20 @@ def time_steps(rows: DataFrame, by: str, order: str, time: str) -> DataFrame:
     return s.select(by, order, "step", "reference", ((F.col("step") <= 0) | F.coalesce(F.col("step") > 3 * F.col("reference"), F.lit(False))).alias("anomalous"))
 
 
+def time_summary(rows: DataFrame, by: str, order: str, time: str, shown: int = 20) -> DataFrame:
+    """(by, start, end, duration, median_step, least_step, largest_step, increasing, anomalies, first_anomalies) of each sequence with
+    a time; the median is of positive steps, and first_anomalies has (order, step, reference) of the first that time_steps() marks. All
+    about steps is null, and anomalies 0, where there is one time only."""
+    timed = rows.where(F.col(time).isNotNull())
+    whole = timed.groupBy(by).agg(F.min_by(time, order).alias("start"), F.max_by(time, order).alias("end"), (F.max(time) - F.min(time)).alias("duration"))
+    one = F.when(F.col("anomalous"), F.struct(F.col(order).alias("order"), "step", "reference"))
+    steps = time_steps(rows, by, order, time).groupBy(by).agg(
+        F.median(F.when(F.col("step") > 0, F.col("step"))).alias("median_step"), F.min("step").alias("least_step"), F.max("step").alias("largest_step"), F.every(F.col("step") > 0).alias("increasing"),
+        F.count_if("anomalous").alias("anomalies"), F.slice(F.sort_array(F.collect_list(one)), 1, shown).alias("first_anomalies"),
+    )
+    return whole.join(steps, by, "left").withColumn("anomalies", F.coalesce("anomalies", F.lit(0)))
+
+
 def quality_counts(points: DataFrame, by: str, order: str, frequency: str, index: str) -> DataFrame:
     """by, points, duplicate_frequencies, direction_changes, index_gaps, status (suspect where any change or gap)."""
     w = Window.partitionBy(by).orderBy(order)

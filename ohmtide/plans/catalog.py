@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ohmtide.operators import screens
-from ohmtide.plans import bridge, inversions, readers, relational
+from ohmtide.plans import batch, bridge, inversions, readers, relational
 
-QUERIES = relational.QUERIES | inversions.QUERIES | readers.QUERIES
-SQL = relational.SQL | inversions.SQL | readers.SQL
+QUERIES = relational.QUERIES | inversions.QUERIES | readers.QUERIES | batch.QUERIES
+SQL = relational.SQL | inversions.SQL | readers.SQL | batch.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

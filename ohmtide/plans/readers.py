@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ohmtide.functions.scalars import source_uid
 from ohmtide.operators.scratch import scratch
+from ohmtide.operators.sequence import time_summary
 from ohmtide.plans import bridge as B
 from ohmtide.sources import files as S
 from ohmtide.sources import irf, text
@@ -74,6 +75,30 @@ def read_text_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.parse(files)[1].join(files.select("source_uid", "k"), "source_uid").select("k", F.col("source_line").cast("int").alias("source_line"), "status", "reason")
 
 
+_TIMES = """t AS (SELECT s_suppkey AS k, i, 0.5e0 * CASE WHEN s_suppkey % 3 = 0 AND i = 10 THEN 9 ELSE i END + CASE WHEN s_suppkey % 2 = 0 AND i >= 6 THEN 10 ELSE 0 END AS minutes
+FROM supplier, (SELECT unnest(range(16)) AS i)), s AS (SELECT k, i, minutes * 60 AS t, minutes * 60 - lag(minutes * 60) OVER (PARTITION BY k ORDER BY i) AS step FROM t)"""
+
+
+@query(f"""WITH {_TIMES} SELECT k, round(min_by(t, i), 6) AS start_s, round(max_by(t, i), 6) AS end_s, round(max(t) - min(t), 6) AS duration_s, round(median(step) FILTER (WHERE step > 0), 6) AS median_step, round(min(step), 6) AS least_step,
+  round(max(step), 6) AS largest_step, bool_and(step > 0) AS increasing, (CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS anomalies,
+  CASE WHEN k % 2 = 0 THEN 6 WHEN k % 3 = 0 THEN 10 END::BIGINT AS first_anomaly FROM s GROUP BY k""")
+def read_text_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of acquisition in minutes, read to seconds: every half minute, with a pause before the seventh line of even files, and the
+    eleventh line of every third file at the time of the tenth."""
+    k, i = F.col("k"), F.col("i")
+    each = B.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    minutes = 0.5 * F.when((k % 3 == 0) & (i == 10), 9).otherwise(i) + F.when((k % 2 == 0) & (i >= 6), 10).otherwise(0)
+    row = F.concat_ws(",", 1000 - 10 * i, F.lit(1), F.lit(2), minutes)
+    body = each.groupBy("k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", row.alias("row")))), lambda x: x["row"]), "\n").alias("body"))
+    files = _files(spark, body.select("k", F.concat(F.lit("Frequency (Hz),Z' (ohm),-Z'' (ohm),Time (min)\n"), "body").alias("value")))
+    # A header of times alone or in seconds is known; one in minutes is declared.
+    layout = text.Layout(delimiter="comma", columns={"frequency": 0, "zreal": 1, "zimag": 2, "time": 3})
+    points = text.parse(files, layout)[2].where("time_unit = 's'").join(files.select("source_uid", "k"), "source_uid")
+    found = time_summary(points, "k", "i", "acquisition_time")
+    r6 = lambda c, name: F.round(c, 6).alias(name)
+    return found.select("k", r6("start", "start_s"), r6("end", "end_s"), r6("duration", "duration_s"), r6("median_step", "median_step"), r6("least_step", "least_step"), r6("largest_step", "largest_step"), "increasing", "anomalies", F.get("first_anomalies", F.lit(0))["order"].cast("bigint").alias("first_anomaly"))
+
+
 #: A header, and why its file is refused; the last is taken.
 REFUSED = (
     ("Frequency,Z' (ohm),-Z'' (ohm)", "ambiguous-frequency-unit"), ("Frequency (Hz),Z',-Z''", "ambiguous-impedance-unit"), ("Frequency (Hz),Z' (ohm),-Z'' (ohm cm2)", "incompatible-units"),

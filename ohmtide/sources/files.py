@@ -20,13 +20,16 @@ def suffix(path: Column) -> Column:
 
 
 def discover(spark: SparkSession, paths: list[str], exclude: str | None = None) -> DataFrame:
-    """path, suffix, source_uid, source_sha256, content of all supported files, each once; an empty set is an error on use."""
+    """path, suffix, source_uid, source_sha256, content of all supported files, each once; an empty set is an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     files = files.select("path", suffix(F.col("path")).alias("suffix"), source_uid(F.col("path")).alias("source_uid"), F.sha2("content", 256).alias("source_sha256"), "content")
     files = files.where(F.col("suffix").isin(*TEXT, *CONTAINER, *VENDOR))
     if exclude:
         files = files.where(~F.col("path").startswith(exclude))
-    return files.dropDuplicates(["path"])
+    files = files.dropDuplicates(["path"])
+    if files.select("path").isEmpty():
+        raise ValueError(f"no supported files in {paths}")
+    return files
 
 
 def looks_generated(content: Column) -> Column:

@@ -75,7 +75,8 @@ def parse(files: DataFrame, layout: Layout = Layout()) -> tuple[DataFrame, DataF
     """(files, ledger, points) of text files (path, source_uid, source_sha256, content).
 
     files: path, source_uid, header, delimiter, status, error. ledger: source_uid, source_line, raw_line, status, reason. points:
-    spectrum_uid, spectrum_id, source_uid, source_line, i, frequency_hz, zreal, neg_zimag, basis, acquisition_index.
+    spectrum_uid, spectrum_id, source_uid, source_line, i, frequency_hz, zreal, neg_zimag, basis, acquisition_index, acquisition_time,
+    time_unit (`s` where the header names a unit, else `raw`; null without such a column).
     """
     # A file's last line break ends a line and begins none.
     lines = F.split(F.regexp_replace(decoded(F.col("content")), r"(?:\r\n|\n|\r)$", ""), r"\r\n|\n|\r")
@@ -110,7 +111,7 @@ def parse(files: DataFrame, layout: Layout = Layout()) -> tuple[DataFrame, DataF
     f = base.withColumn("h", best)
     name = lambda role: F.get(F.col("h.header"), F.col(f"h.{role}"))
     zr, zi = S.impedance_scale(name("zreal"), layout.impedance_unit), S.impedance_scale(name("zimag"), layout.impedance_unit)
-    f = f.withColumns({"ff": S.frequency_scale(name("frequency"), layout.frequency_unit), "zr": zr, "zi": zi, "sign": S.imaginary_sign(name("zimag"), layout.imag_convention)})
+    f = f.withColumns({"ff": S.frequency_scale(name("frequency"), layout.frequency_unit), "zr": zr, "zi": zi, "sign": S.imaginary_sign(name("zimag"), layout.imag_convention), "ft": S.time_scale(name("time"))})
     missing = F.col("h.frequency").isNull() | F.col("h.zreal").isNull() | F.col("h.zimag").isNull()
     numeric = S.finite_double(name("frequency")).isNotNull() & S.finite_double(name("zreal")).isNotNull() & S.finite_double(name("zimag")).isNotNull()
     error = (
@@ -119,7 +120,7 @@ def parse(files: DataFrame, layout: Layout = Layout()) -> tuple[DataFrame, DataF
         .when(F.col("zr").isNull() | F.col("zi").isNull(), "ambiguous-impedance-unit").when(F.col("zr.basis") != F.col("zi.basis"), "incompatible-units").when(F.col("sign").isNull(), "ambiguous-imaginary-sign")
     )
     f = f.withColumn("error", error)
-    each = f.select("path", "source_uid", "source_sha256", "h", "ff", "zr", "zi", "sign", "error", F.posexplode_outer("lines").alias("_l", "raw_line")).withColumn("source_line", F.col("_l") + 1)
+    each = f.select("path", "source_uid", "source_sha256", "h", "ff", "ft", "zr", "zi", "sign", "error", F.posexplode_outer("lines").alias("_l", "raw_line")).withColumn("source_line", F.col("_l") + 1)
     data = F.col("error").isNull() & (F.col("source_line") > F.col("h.row"))
     odd = (F.col("h.delimiter") != "whitespace") & ((F.length("raw_line") - F.length(F.replace(F.col("raw_line"), F.lit('"'), F.lit("")))) % 2 == 1)
     each = each.withColumn("raw_fields", F.when(data, _fields(F.col("raw_line"), F.col("h.delimiter"))))
@@ -132,6 +133,7 @@ def parse(files: DataFrame, layout: Layout = Layout()) -> tuple[DataFrame, DataF
         "path", "source_uid", "source_sha256", "source_line", (value("frequency") * F.col("ff")).alias("frequency_hz"), (value("zreal") * F.col("zr.factor")).alias("zreal"),
         (value("zimag") * F.col("zi.factor") * F.col("sign")).alias("neg_zimag"), F.col("zr.basis").alias("basis"),
         F.when(F.col("h.index").isNull(), F.col("source_line").cast("double")).otherwise(value("index")).alias("acquisition_index"),
+        (value("time") * F.coalesce("ft", F.lit(1.0))).alias("acquisition_time"), F.when(F.col("h.time").isNotNull(), F.when(F.col("ft").isNull(), "raw").otherwise("s")).alias("time_unit"),
     )
     if layout.order == "acquisition":
         runs, order = sweep_runs(points, "path", "source_line", "frequency_hz"), F.col("source_line")
@@ -144,7 +146,7 @@ def parse(files: DataFrame, layout: Layout = Layout()) -> tuple[DataFrame, DataF
     runs = runs.withColumn("spectrum_id", F.concat(stem, F.lit(":text:run"), F.col("run").cast("string")))
     runs = runs.withColumn("spectrum_uid", S.spectrum_uid(F.col("source_uid"), F.col("source_sha256"), F.col("spectrum_id")))
     runs = runs.withColumn("i", F.row_number().over(Window.partitionBy("spectrum_uid").orderBy(order)) - 1)
-    points = runs.select("spectrum_uid", "spectrum_id", "source_uid", "source_line", "i", "frequency_hz", "zreal", "neg_zimag", "basis", "acquisition_index")
+    points = runs.select("spectrum_uid", "spectrum_id", "source_uid", "source_line", "i", "frequency_hz", "zreal", "neg_zimag", "basis", "acquisition_index", "acquisition_time", "time_unit")
     some = points.select("source_uid").distinct().withColumn("_some", F.lit(True))
     out = f.join(some, "source_uid", "left").select("path", "source_uid", F.col("h.header").alias("header"), F.col("h.delimiter").alias("delimiter"), F.when(F.col("error").isNull() & F.col("_some"), "parsed").otherwise("failed").alias("status"), F.coalesce("error", F.when(F.col("_some").isNull(), "no-valid-points")).alias("error"))
     ledger = each.where("raw_line IS NOT NULL").select("source_uid", "source_line", "raw_line", "status", F.when(F.col("status") == "included", "valid-eis-row").otherwise(F.coalesce("reason", "error", "status")).alias("reason"))

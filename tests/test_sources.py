@@ -100,10 +100,63 @@ def test_publishing_once(spark, tmp_path):
     first = publish.publish(spark, {"t": df}, str(tmp_path), "run1").collect()
     again = publish.publish(spark, {"t": df.union(df)}, str(tmp_path), "run1").collect()
     assert first == again and first[0].rows == 1
+    assert not any(p.name.startswith(("_staging", "_lock")) for p in tmp_path.iterdir())
     inputs = spark.createDataFrame([("u", "h")], "source_uid string, source_sha256 string")
     assert publish.fingerprint({"a": 1}, inputs) != publish.fingerprint({"a": 2}, inputs)
 
 
+def test_publishing_is_whole_or_not_at_all(spark, tmp_path):
+    df, folder = spark.range(5), str(tmp_path)
+    assert publish.current(spark, folder) is None
+    publish.publish(spark, {"t": df}, folder, "run-b")
+    with pytest.raises(Exception, match="(?i)zero"):
+        publish.publish(spark, {"t": df, "u": df.select(F.expr("id / (id - id)").alias("x"))}, folder, "run-a")
+    assert {p.name for p in tmp_path.iterdir()} == {"run-b", "_history-analysis"} and publish.current(spark, folder) == "run-b"
+    publish.publish(spark, {"t": df.union(df)}, folder, "run-a")
+    assert publish.current(spark, folder) == "run-a" and publish.published(spark, folder, "run-b")
+    (tmp_path / "run-c").mkdir()
+    with pytest.raises(FileExistsError):
+        publish.publish(spark, {"t": df}, folder, "run-c")
+    (tmp_path / "_lock-analysis").touch()
+    with pytest.raises(RuntimeError, match="in progress"):
+        publish.publish(spark, {"t": df}, folder, "run-d")
+    assert (tmp_path / "_lock-analysis").exists()
+    for name in ("../x", "a/b", "_manifest", ""):
+        with pytest.raises(ValueError):
+            publish.publish(spark, {name: df}, folder, "run-e")
+
+
+def test_changed_tables_are_told(spark, tmp_path):
+    publish.publish(spark, {"t": spark.range(5), "u": spark.sql("SELECT map('a', 1) AS m, cast(null AS int) AS n")}, str(tmp_path), "r")
+    assert publish.changed(spark, str(tmp_path), "r") == []
+    spark.range(6).withColumn("run_fingerprint", F.lit("r")).write.mode("overwrite").parquet(str(tmp_path / "r" / "t"))
+    assert publish.changed(spark, str(tmp_path), "r") == ["t"]
+
+
+def test_no_files_is_an_error(spark, tmp_path):
+    (tmp_path / "a.doc").write_text("x")
+    with pytest.raises(ValueError, match="no supported files"):
+        files.discover(spark, [str(tmp_path)])
+
+
+def test_one_time_has_no_steps(spark):
+    from ohmtide.operators.sequence import time_summary
+
+    rows = spark.createDataFrame([("a", 0, 5.0), ("a", 1, None), ("b", 0, None)], "k string, i int, t double")
+    (one,) = time_summary(rows, "k", "i", "t").collect()
+    assert (one.k, one.start, one.end, one.duration, one.median_step, one.anomalies, one.first_anomalies) == ("a", 5.0, 5.0, 0.0, None, 0, None)
+
+
+def test_containers_without_databases_or_documents(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.irf", "w") as z:
+        z.writestr("a.json", '[[{"State": 3}], {"State": "x", "FrequencyDistribution": [null, "y"]}, {"FrequencyDistribution": [2, [1]]}]')
+    found = files.discover(spark, [str(tmp_path)])
+    assert [r.error for r in irf.read(found).collect()] == ["no-impedance-table"] and irf.events(found).count() == 0
+    (one,) = irf.procedures(found).collect()
+    assert (one.state, one.programmed, one.header_parameters, one.error) == ("3", [2.0, 1.0], "[]", None)
+    assert irf.schedules(irf.read(found), irf.procedures(found)).count() == 0 and irf.spectra(irf.read(found)).count() == 0
+
+
 def test_stream_takes_each_file_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     table = "freq (Hz),Z' (ohm),-Z'' (ohm)\n10,1,1\n1,2,1\n"
