@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -346,6 +347,60 @@ def test_scores_learn_from_all_training_texts_however_the_input_is_cut(spark):
     assert len(held) > 20 and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_scores_predict_new_words_from_the_words_before(spark):
+    """No word comes twice in a text: only other texts say what follows it. The same words in another order score less."""
+    rng = random.Random(26)
+    follows = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(follows[k : k + 30])) for i in range(400) for k in [rng.randrange(370)]]
+    held = [d for d, _ in rows if zlib.crc32(str(d).encode()) % 7 == 2]
+    texts = dict(rows)
+    plain = {r.doc_id: r for r in mixing.score(frame(spark, rows)).collect()}
+    mixed = {r.doc_id: r for r in mixing.score(frame(spark, [(d, " ".join(rng.sample(t.split(), 30)) if d in held else t) for d, t in rows])).collect()}
+    assert len(held) > 20 and all(len(set(texts[d].split())) == 30 for d in held)
+    for d in held:
+        assert abs(plain[d].base_score - mixed[d].base_score) < 1e-6
+        assert plain[d].score > mixed[d].score
+    assert sum(plain[d].score for d in held) > 0.4 * sum(mixed[d].score for d in held)
+
+
+def test_a_model_that_has_learnt_gives_all_next_tokens_a_probability_of_one():
+    """Frequent words, words of buckets, the end and the unknown word, after learning; counts are those of a plain loop over bits."""
+    rng = random.Random(27)
+    names = [f"n{i}" for i in range(40)]
+    hashes = [int(mixing.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in names] + [int(mixing.END)]
+    texts = [[*(min(int(rng.paretovariate(0.8)) - 1, 38) for _ in range(rng.randrange(1, 30))), 40] for _ in range(200)]
+    c = np.bincount([x for t in texts for x in t], minlength=41)
+    frequent = c >= 20
+    buckets = np.zeros(1 << mixing.BUCKET_BITS)
+    for h, n in zip(hashes, c):
+        buckets[h >> (64 - mixing.BUCKET_BITS)] += (n + 1) * (0 < n < 20)
+    tree = mixing.Tree(np.array(hashes, np.uint64)[frequent], c[frequent], buckets, 0)
+    assert abs(sum(0.5 ** int(n) for n in tree.length) - 1) < 1e-12
+    model = mixing.Model(int(c.sum()), int((c > 0).sum()), tree).ready("count")
+
+    def run(texts, task, learn):
+        flat, begin = [x for t in texts for x in t], np.cumsum([0, *map(len, texts)])
+        return model.score(np.array(hashes, np.uint64)[flat], begin, c[flat], np.full(len(texts), learn), task)
+
+    run(texts, "count", True)
+    ways = Counter()
+    for t in texts:
+        for leaf in tree.leaves(np.array(hashes, np.uint64)[t], c[t]):
+            ways.update(tree.path[tree.start[leaf] : tree.start[leaf] + tree.length[leaf]].tolist())
+    assert {k: int(v) for k, v in enumerate(model.zero) if v} == dict(ways)
+    assert model.one.sum() == model.two.sum() == sum(ways.values())
+    model.take(dict(model.sums("count")))
+    run(texts, "fit", True)
+    model.take({})
+    unknown = 39
+    assert c[unknown] == 0
+    for n in (0, 1, 5, 40):
+        text = [rng.randrange(39) for _ in range(n)]
+        following = [k for k in range(41) if c[k] > 0] + [unknown]
+        logs = [run([[*text, k]], "score", False)[-1] for k in following]
+        assert abs(np.exp(logs).sum() - 1) < 1e-4, n
+
+
 def test_long_runs_are_encoded_as_the_library_does(spark):
     """A million line breaks, spaces and letters, through the counts, the packing and their common encoder."""
     tokenizer = Tokenizer.from_file(PATH)
