@@ -164,7 +164,8 @@ def dedup_lines(documents: DataFrame, key: Callable[[bytes], bytes] = digest, na
         rows = [(None, 0, 0) if t is None or m is None else without(t.encode(), {(x["at"], bytes(x["digest"])) for x in m}, key) for t, m in zip(texts, marks)]
         return pd.DataFrame([(None if t is None else t.decode(), c, n) for t, c, n in rows], columns=["text", "chunks", "lines"])
 
-    own = F.pandas_udf(kept, "text string, chunks bigint, lines bigint")
+    # As a function that may not be run twice: else a filter on its counts is moved below it, runs it again, and holds a second worker.
+    own = F.pandas_udf(kept, "text string, chunks bigint, lines bigint").asNondeterministic()
     result = joined.withColumn("ohmtide_kept", own(F.when(F.col("ohmtide_gone").isNotNull(), F.col("text")), F.col("ohmtide_gone")))
     columns = [F.coalesce("ohmtide_kept.text", "text").alias("text") if c == "text" else quoted(c) for c in documents.columns if c not in names]
     return result.select(*columns, F.col("ohmtide_kept.chunks").alias(names[0]), F.col("ohmtide_kept.lines").alias(names[1]))

@@ -167,10 +167,13 @@ def pack(documents: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0
     for length, n in by_part.groupBy("length").agg(F.sum("n")).collect():  # at most `size` rows
         counts[length] = n
     # At most a row for each length of each plan: bounded by the number of lengths, not of pieces.
-    table = spark.createDataFrame(places(plan(counts)), "length bigint, low bigint, high bigint, times bigint, first bigint, at bigint")
+    names = ["p_length", "low", "high", "times", "first", "at"]
+    # Through Arrow: rows of Python would start a second pool of workers in each executor, which stays.
+    found = np.array(places(plan(counts)), np.int64).reshape(-1, len(names))
+    table = spark.createDataFrame(pa.table(list(found.T), names))
     before = by_part.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", "length", F.coalesce("before", F.lit(0)).alias("before"))
     ranked = cut.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
-    placed = ranked.join(F.broadcast(table.withColumnRenamed("length", "p_length")), F.expr("length = p_length AND rank >= low AND rank < high"))
+    placed = ranked.join(F.broadcast(table), F.expr("length = p_length AND rank >= low AND rank < high"))
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         F.expr("first + (rank - low) % times").alias("sequence_id"),

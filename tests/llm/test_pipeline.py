@@ -72,3 +72,20 @@ def test_stages_and_run(spark, tmp_path):
         for r in pieces.collect():
             total[r.doc_id] += r.length
         assert total == {d: len(whole.encode(t, add_special_tokens=False).ids) + 1 for d, t in steps[-1].items()}
+
+
+def test_each_task_needs_one_worker(spark, tmp_path, monkeypatch):
+    """Line dedup runs its function of texts once, and packing sends its plan without a pool of workers of its own: workers are kept,
+    and hold memory in all later stages."""
+    rows = [(d, f"{t}\n{t}", "en", "s", 2 * len(t) + 1) for d, t in near_copies(5, families=2, members=3, single=2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    plan = corpus_pipeline.line_dedup(spark, docs, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1
+
+    def refuse(*_, **__):
+        raise AssertionError("rows of Python are sent through workers")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    assert corpus_pipeline.best_fit_packing(spark, docs, str(tmp_path)).count() >= len(rows)
