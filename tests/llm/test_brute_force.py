@@ -401,6 +401,21 @@ def test_a_model_that_has_learnt_gives_all_next_tokens_a_probability_of_one():
         assert abs(np.exp(logs).sum() - 1) < 1e-4, n
 
 
+def test_places_of_equal_keys_are_counted_as_a_plain_loop_does():
+    """Zeros and ones of a key before each place, numbers of its run, and orders found by sorting keys with their places."""
+    rng = np.random.default_rng(28)
+    for n in (0, 1, 2, 700):
+        key, bit = rng.integers(0, 60, n), rng.integers(0, 2, n).astype(np.uint8)
+        runs, seen, want = mixing.Runs(key, bit), Counter(), []
+        for k, b in zip(key.tolist(), bit.tolist()):
+            want.append((seen[k, 0], seen[k, 1], sum(key == k), sum(bit[key == k])))
+            seen[k, b] += 1
+        assert runs.spread(runs.size, runs.ones).tolist() == [[float(v) for v in r] for r in want]
+        assert mixing.in_order(key).tolist() == np.argsort(key, kind="stable").tolist()
+        wide = key.astype(np.uint64) << np.uint64(40)
+        assert mixing.repeated(wide).tolist() == [sum(key == k) > 1 for k in key]
+
+
 def test_long_runs_are_encoded_as_the_library_does(spark):
     """A million line breaks, spaces and letters, through the counts, the packing and their common encoder."""
     tokenizer = Tokenizer.from_file(PATH)
