@@ -416,6 +416,48 @@ def test_places_of_equal_keys_are_counted_as_a_plain_loop_does():
         assert mixing.repeated(wide).tolist() == [sum(key == k) > 1 for k in key]
 
 
+def test_only_places_of_shared_keys_are_counted_and_ways_are_compared_as_numbers():
+    """Against plain loops: counts of keys that come more than once, common bits of two ways, slots of threes, and halved counts."""
+    rng = np.random.default_rng(29)
+    for n in (0, 1, 2, 500):
+        key, bit = rng.integers(0, 200, n), rng.integers(0, 2, n)
+        at, before, whole, keys = mixing.Runs(key, bit).shared()
+        want, pair = {}, lambda mask: (int((mask & (bit == 0)).sum()), int((mask & (bit == 1)).sum()))
+        for i in range(n):
+            same = key == key[i]
+            if same.sum() > 1:
+                want[i] = (pair(same & (np.arange(n) < i)), pair(same), key[i])
+        split = lambda x: (int(x & (mixing.PAIR - 1)), int(x >> 32))
+        assert {int(a): (split(b), split(w), k) for a, b, w, k in zip(at, before, whole, keys)} == want
+    tree = mixing.Tree(np.arange(1, 60, dtype=np.uint64) << np.uint64(40), (2 ** rng.uniform(0, 30, 59)).astype(np.int64), np.zeros(1 << mixing.BUCKET_BITS), 0)
+    ways = [tree.path[a : a + n].tolist() for a, n in zip(tree.start, tree.length)]
+    one, other = np.divmod(np.arange(60 * 60), 60)
+    for a, b, got in zip(one, other, tree.common(one, other)):
+        assert got == next((k for k, (x, y) in enumerate(zip(ways[a], ways[b])) if x != y), len(ways[a]))
+    for start, way in zip(tree.start, ways):
+        for k, step in enumerate(way):
+            seventh = 1
+            for j in range(k - k % 3, k):
+                seventh = 2 * seventh + (way[j] & 1)
+            assert tree.way[start + k] == (step >> 1) << 4 | seventh << 1 | step & 1
+    assert mixing.halved(np.array([3, 5, 6 << 30, 2 << 30, 0, 1 << 30])).tolist() == [3, 5, 6 << 27, 2 << 27, 0, 1 << 29]
+
+
+def test_counts_beyond_a_table_cell_give_scores():
+    """A corpus of one word, so to say, in which a text has all of the few others: what it takes out of halved counts isn't below zero."""
+    hashes, c = np.array([1, 2, 3], np.uint64) << np.uint64(40), np.array([40, 6, 3])
+    words_, begin = hashes[[0] * 20 + [1, 2, 1] + [0] * 20 + [2, 1, 1, 2, 1, 1]], np.array([0, 23, 49])
+    count = c[np.searchsorted(hashes, words_)]
+    model = mixing.Model(49, 3, mixing.Tree(hashes, c, np.zeros(1 << mixing.BUCKET_BITS), 0)).ready("count")
+    model.score(words_, begin, count, np.array([True, True]), "count")
+    large = {k: v if k == "match" else np.where(v > 12, v.astype(np.int64) << 31, v) for k, v in model.sums("count")}
+    assert large["zero"].max() > 1 << 32
+    model.take(large)
+    for task in ("fit", "score"):
+        logs = model.score(words_, begin, count, np.array([True, True]), task)
+    assert np.isfinite(logs).all() and (logs <= 0).all() and logs[5:15].mean() > -0.1 > -1 > logs[20]
+
+
 def test_long_runs_are_encoded_as_the_library_does(spark):
     """A million line breaks, spaces and letters, through the counts, the packing and their common encoder."""
     tokenizer = Tokenizer.from_file(PATH)
