@@ -453,6 +453,10 @@ def test_counts_beyond_a_table_cell_give_scores():
     large = {k: v if k == "match" else np.where(v > 12, v.astype(np.int64) << 31, v) for k, v in model.sums("count")}
     assert large["zero"].max() > 1 << 32
     model.take(large)
+    sent = {k: [(mixing.planes(mixing.halved(v[low : low + (1 << 20)])), len(v[low : low + (1 << 20)])) for low in range(0, len(v), 1 << 20)] if k in ("one", "two") else v for k, v in large.items()}
+    other = mixing.Model(49, 3, model.tree)
+    other.take(sent)
+    assert all((other.pairs[k] == model.pairs[k]).all() for k in model.PAIRS)
     for task in ("fit", "score"):
         logs = model.score(words_, begin, count, np.array([True, True]), task)
     assert np.isfinite(logs).all() and (logs <= 0).all() and logs[5:15].mean() > -0.1 > -1 > logs[20]
